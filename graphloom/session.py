@@ -15,6 +15,9 @@ LOCAL_CONF = {
 }
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and the benchmark; a cluster brings its own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("graphloom")
@@ -33,8 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN_DIRS.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        _OWN_DIRS[app] = found
     return found.rstrip("/")
 
 
