@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, secret_scans, url_filters
+from graphloom.llm import decontamination, near_dedup, secret_scans, substring_dedup, url_filters
 from graphloom.session import table
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,12 +29,16 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_url_filters": op4_url_filters,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLES = {
+    "op3_near_dedup": near_dedup.oracle(),
     "op4_url_filters": url_filters.oracle(),
+    "op5_substring_dedup": substring_dedup.oracle(),
     "op9_decontamination": decontamination.oracle(),
     "op10_secret_scans": secret_scans.oracle(),
 }
