@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, near_dedup, quality_classifier, quality_rules, secret_scans, substring_dedup, url_filters
+from graphloom.llm import decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, substring_dedup, url_filters
 from graphloom.llm.statistics import COUNTS
 from graphloom.session import table
 
@@ -29,6 +29,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scans": op10_secret_scans,
 }
