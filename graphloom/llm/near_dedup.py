@@ -2,8 +2,8 @@
 
 One permutation scatters a text's shingles over a ring of RING places; a second one, read at a place and the COORDINATES
 places that follow, gives all signature coordinates: coordinate k is the least value that the second permutation,
-shifted by k, takes over the set. BANDS bands of ROWS coordinates make the buckets. A pair at the threshold 0.85 shares no
-bucket with a chance of (1 - 0.85**6)**32 = 3e-7; a pair that shares one is compared on its whole sets of 64-bit shingle names.
+shifted by k, takes over the set. Bands of coordinates make the buckets (see bands_of); a pair at the threshold shares no
+bucket with a chance of 3e-7, and a pair that shares one is compared on its whole sets of 64-bit shingle names.
 
 Texts with equal sets are one representative from the start, so exact copies never meet in a bucket. A bucket of
 representatives is not expanded into pairs:
@@ -11,8 +11,8 @@ representatives is not expanded into pairs:
 1. Its smallest member is compared with all others, and components are made of the links (linear in the bucket).
 2. Only where members of different components are left, those outside the bucket's largest component are compared with the
    rest. Blocks of outsiders meet blocks of members, so that a task holds one block of each, and a pair goes on to exact
-   comparison only if its signatures agree in AGREE of the coordinates or more. A linked pair falls short of that
-   with a chance under 1e-8 (it is 6 standard deviations below the mean of 0.85), as rare as missing every bucket.
+   comparison only if its signatures agree in a share of the coordinates that is SLACK below the threshold, or more. A linked pair
+   falls short of that with a chance under 1e-7, as rare as missing every bucket.
 
 Defined results: null or blank text has the empty set and is alone. A text with fewer words than WIDTH has its whole
 sequence as its one shingle. Repeated rows (equal doc_id) are judged once and each row gets the result. A row whose
@@ -34,14 +34,21 @@ from graphloom.llm.graph import components
 from graphloom.session import materialise, release
 
 RING = 1 << 20
-BANDS, ROWS = 32, 6
-COORDINATES = BANDS * ROWS
-AGREE = 0.7
+COORDINATES = 192
+#: Signatures of linked pairs agree in this much less than the threshold, or more: over 5 standard deviations.
+SLACK = 0.155
 #: Outsiders and members of a bucket that one task compares at a time.
 OUTSIDERS, MEMBERS = 64, 1024
 #: Copies of each group of equal sets among which its rows are dealt when they look up their representative.
 SALTS = 32
 
+
+
+def bands_of(percent: int) -> tuple[int, int]:
+    """(bands, rows of each): a pair at the threshold shares no bucket with a chance of 3e-7 at 85 and at 80 percent."""
+    return (32, 6) if percent >= 85 else (38, 5)
+
+
 _A, _B, _C = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 
 
@@ -93,7 +100,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _signatures(width: int):
+def _signatures(width: int, percent: int):
+    bands_n, rows_n = bands_of(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -108,9 +117,9 @@ def _signatures(width: int):
                         if sig is None:
                             bands.append(None)
                             continue
-                        rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-                        key = np.arange(1, BANDS + 1, dtype=np.uint64) * _C
-                        for j in range(ROWS):
+                        rows = sig[: bands_n * rows_n].reshape(bands_n, rows_n).astype(np.uint64)
+                        key = np.arange(1, bands_n + 1, dtype=np.uint64) * _C
+                        for j in range(rows_n):
                             key = mix(key * _A + rows[:, j])
                         bands.append(_signed(key))
                     yield pa.RecordBatch.from_arrays(
@@ -158,7 +167,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
-def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+def _blocks(pdf: pd.DataFrame, agree: float) -> pd.DataFrame:
     """Of one block of outsiders and one of members: the pairs of different components whose signatures agree enough."""
     out, mem = pdf[pdf["outside"]], pdf[~pdf["outside"]]
     rows: list[pd.DataFrame] = []
@@ -166,13 +175,13 @@ def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.frombuffer(b"".join(mem["sig"]), dtype=np.uint16).reshape(len(mem), COORDINATES)
         ids, labels = mem["id"].to_numpy(), mem["component"].to_numpy()
         for i, c, s in zip(out["id"], out["component"], out["sig"], strict=True):
-            same = (m == np.frombuffer(s, dtype=np.uint16)).sum(axis=1) >= AGREE * COORDINATES
+            same = (m == np.frombuffer(s, dtype=np.uint16)).sum(axis=1) >= agree * COORDINATES
             hit = ids[same & (labels != c)]
             rows.append(pd.DataFrame({"a": np.minimum(hit, i), "b": np.maximum(hit, i)}))
     return pd.concat(rows) if rows else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
 
-def _remaining(buckets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+def _remaining(buckets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket but different components, one of them outside the bucket's largest component."""
     named = buckets.join(labels, F.col("rep") == F.col("id"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     counts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -187,7 +196,7 @@ def _remaining(buckets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFr
     outs = mixed.filter(outside).select(*base, part(n_out, 1).alias("i"), F.explode(F.sequence(F.lit(0), n_mem - 1)).alias("j"), F.lit(True).alias("outside"))
     mems = mixed.select(*base, F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), part(n_mem, 2).alias("j"), F.lit(False).alias("outside"))
     met = outs.unionByName(mems).select("bucket", "i", "j", "id", "component", "sig", "outside")
-    pairs = met.groupBy("bucket", "i", "j").applyInPandas(_blocks, "a long, b long")
+    pairs = met.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _blocks(pdf, percent / 100 - SLACK), "a long, b long")
     return pairs.distinct()
 
 
@@ -203,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     the smallest doc_id that links reach, and that document is kept. ``percent`` should be 80 or more for the bands.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sigs = materialise(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"), "sigs")
+    sigs = materialise(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"), "sigs")
     groups = materialise(representatives(sigs), "groups")
     reps = materialise(sigs.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "reps")
     members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
@@ -213,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = buckets.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(_linked(stars, sets, percent), "links")
     labels = components(links)
-    more = _remaining(buckets.select("bucket", "rep"), reps, labels)
+    more = _remaining(buckets.select("bucket", "rep"), reps, labels, percent)
     found = materialise(_linked(more, sets, percent), "links")
     labels = components(links.union(found))
     for t in (leaders, buckets, sets, reps, links, found):
@@ -224,7 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     single = named.filter("copies = 1").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     rows = sigs.select("doc_id", "n_shingles", "f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = rows.join(single.unionByName(salted).drop("copies", "rep"), ["f1", "f2", "n_shingles", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    lost = docs.filter(F.col("doc_id").isNull()).mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
+    lost = docs.filter(F.col("doc_id").isNull()).mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
     out = out.unionByName(lost.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, substring_dedup, url_filters
+from graphloom.llm import decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, sentencepiece_wfst, substring_dedup, url_filters
 from graphloom.llm.statistics import COUNTS
 from graphloom.session import table
 
 
+#: Vocabulary of the registered query; any SentencePiece model's path may be given to the operator.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
@@ -25,6 +29,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), sentencepiece_wfst.load(VOCABULARY))
+    return encoded.select("doc_id", "n_ids", "ids", "decoded_sha256", "round_trip")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +55,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,

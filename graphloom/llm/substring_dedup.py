@@ -9,7 +9,8 @@ the first and the last document that holds it.
 A window of WINDOW words that fully holds the determining span of a symbol which no earlier document has cannot start in an
 earlier document, and is cleared; likewise one with a symbol that no later document has cannot be the source of a later one. The windows that remain (those in
 shared passages, and the few that hold no determining span) are compared by the 64-bit names of their
-whole word sequence, so nothing depends on how well the rounds cut a text.
+whole word sequence, so nothing depends on how well the rounds cut a text. Documents whose whole word sequence an earlier one has are
+the longest symbols of all: they are settled at the start and take no part in the rounds.
 
 Defined results: null or blank text has no word and nothing is removed. Texts of fewer than WINDOW words lose nothing. Repeated rows of one
 doc_id are no earlier document to each other; each gets the same result. A row whose doc_id is null is left as it is and is no source for others. Empty
@@ -26,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import U, Words, mix, pieces, rolling
+from graphloom.llm.arrays import U, Words, inverse, mix, pieces, powers, rolling
 from graphloom.session import materialise, release
 
 WINDOW = 50
-LEVELS = 5
+LEVELS = 4
 #: Words of the longest symbol that pairing makes.
 LONGEST = 16
+#: The most ids of exact copies that are sent to every executor (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Parts among which the rows of one group of copies are dealt.
+SALTS = 32
 _FAR = 1 << 40
 _A, _B = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 
@@ -98,6 +103,21 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document: its number of words, a 128-bit name of its word sequence, and the digest of all its words."""
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for part in pieces(batch):
+                w = Words(part.column(1))
+                names, sha = [], []
+                sums = [np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(w.name * m) * powers(base, len(w.name)))]) for m, base in ((_A, 0xE7037ED1A0B428DB), (_B, 0x8EBC6AF09C88C6E3))]
+                for s, base in zip(sums, (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3), strict=True):
+                    names.append(mix((s[w.first[1:]] - s[w.first[:-1]]) * powers(inverse(base), len(w.name) + 1)[w.first[:-1]]))
+                for t in part.column(1):
+                    sha.append(hashlib.sha256(b" ".join(t.as_py().encode().split()) if t.is_valid else b"").hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(w.first).astype(np.int64)), pa.array(_signed(names[0])), pa.array(_signed(names[1])), pa.array(sha, pa.string())], names=["doc_id", "n_words", "f1", "f2", "sha"])
+
+
 def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -121,10 +141,6 @@ def _holds(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(delta)[:count] > 0
 
 
-def _sha(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
-
-
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document what is left to compare: names and places of windows that may repeat (q) or be repeated (t)."""
     with np.errstate(over="ignore"):
@@ -138,7 +154,7 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(part.num_rows):
                     a, b = int(w.first[k]), int(w.first[k + 1])
                     q = t = np.zeros(0, dtype=np.int64)
-                    if b - a >= WINDOW and part.column(0)[k].is_valid:
+                    if b - a >= WINDOW:
                         s = slice(int(bounds[k]), int(bounds[k + 1]))
                         mine, lo, hi = _signed(sym[s]), low[s] - a, high[s] - a
                         shared = np.zeros(len(mine), dtype=np.int8)
@@ -153,14 +169,14 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         none_before, none_after = (shared & 1) == 0, (shared & 2) == 0
                         q = np.flatnonzero(~_holds(lo[none_before], hi[none_before], b - a))
                         t = np.flatnonzero(~_holds(lo[none_after], hi[none_after], b - a))
-                    text_k = part.column(1)[k].as_py() if len(q) else None
-                    sha = None if len(q) else _sha([bytes(w.data[x:y]) for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)])
-                    rows.append((b - a, sha, text_k, _signed(names[a + q]), q.astype(np.int32), _signed(names[a + np.setdiff1d(t, q, assume_unique=True)])))
-                n, sha, txt, qh, qp, th = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(txt, pa.string()), pa.array(qh, pa.list_(pa.int64())), pa.array(qp, pa.list_(pa.int32())), pa.array(th, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_words", "sha", "text", "q", "at", "t"],
-                )
+                    if len(q) or len(t):
+                        text_k = part.column(1)[k].as_py() if len(q) else None
+                        rows.append((part.column(0)[k].as_py(), text_k, _signed(names[a + q]), q.astype(np.int32), _signed(names[a + np.setdiff1d(t, q, assume_unique=True)])))
+                if rows:
+                    ids, txt, qh, qp, th = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids, pa.int64()), pa.array(txt, pa.string()), pa.array(qh, pa.list_(pa.int64())), pa.array(qp, pa.list_(pa.int32())), pa.array(th, pa.list_(pa.int64()))], names=["doc_id", "text", "q", "at", "t"]
+                    )
 
 
 def _removed(n: int, at: np.ndarray) -> np.ndarray:
@@ -174,42 +190,63 @@ def _removed(n: int, at: np.ndarray) -> np.ndarray:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, sha, kept = [], [], []
-        for text, at in zip(batch.column(2), batch.column(3), strict=True):
+        for text, at in zip(batch.column(1), batch.column(2), strict=True):
             words = text.as_py().encode().split()
-            gone = _removed(len(words), at.values.to_numpy()) if at.is_valid else np.zeros(len(words), dtype=bool)
-            left = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
-            joined = b" ".join(left)
+            gone = _removed(len(words), at.values.to_numpy())
+            joined = b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g])
             removed.append(int(gone.sum()))
             sha.append(hashlib.sha256(joined).hexdigest())
-            kept.append(joined.decode() if gone.any() else text.as_py())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-        )
+            kept.append(joined.decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
+
+
+def copies(whole: DataFrame) -> DataFrame:
+    """Distinct doc_id of the documents whose word sequence a document of smaller id has.
+
+    Groups are counted first; their first members are then dealt SALTS times, so that the rows of one group meet them in many tasks.
+    """
+    groups = whole.filter("n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    salted = materialise(groups, "groups").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = whole.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, ["f1", "f2", "n_words", "salt"]).filter(F.col("first") < F.col("doc_id")).select("doc_id").distinct()
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) for each row of ``docs`` (doc_id, text).
 
     A word goes if a window of WINDOW words that covers it also starts in a document of smaller id. kept_text is null where
-    nothing can repeat, and else the text without those words (as it was, if none goes).
+    nothing goes, and else the words that are left, joined by spaces.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    whole = materialise(docs.mapInArrow(_whole, "doc_id long, n_words long, f1 long, f2 long, sha string"), "whole")
+    again = materialise(copies(whole.filter(F.col("doc_id").isNotNull())), "copies")
     known = docs.filter(F.col("doc_id").isNotNull())
-    held = known.mapInArrow(_symbols, "sym long, doc_id long")
+    own = known.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "doc_id", "left_anti").select("doc_id", "text")
+    held = own.mapInArrow(_symbols, "sym long, doc_id long")
     shared = materialise(held.groupBy("sym").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "shared")
     kinds = (F.when(F.col("first") < F.col("doc_id"), 1).otherwise(0) + F.when(F.col("last") > F.col("doc_id"), 2).otherwise(0)).cast("byte")
     mine = held.join(shared, "sym").groupBy("doc_id").agg(F.collect_set(F.struct("sym", kinds.alias("kind"))).alias("shared"))
-    suspects = materialise(
-        docs.join(mine, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_suspects, "doc_id long, n_words long, sha string, text string, q array<long>, at array<int>, t array<long>"), "suspects"
-    )
+    suspects = materialise(own.join(mine, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_suspects, "doc_id long, text string, q array<long>, at array<int>, t array<long>"), "suspects")
     release(shared)
     q = suspects.select("doc_id", F.explode(F.arrays_zip("q", "at")).alias("x")).select("doc_id", F.col("x.q").alias("w"), F.col("x.at").alias("at"))
     t = suspects.select("doc_id", F.explode("t").alias("w"))
     first = materialise(q.select("doc_id", "w").union(t).groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w", "first"), "first")
     gone = q.join(first, "w").filter(F.col("first") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
-    done = suspects.filter(F.col("sha").isNotNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    rest = suspects.filter(F.col("sha").isNull()).select("doc_id", "n_words", "text").join(gone, "doc_id", "left").select("doc_id", "n_words", "text", "gone")
-    return done.unionByName(rest.mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"))
+    changed = suspects.filter(F.col("text").isNotNull()).select("doc_id", "text").dropDuplicates(["doc_id"]).join(gone, "doc_id").select("doc_id", "text", "gone")
+    cut = changed.mapInArrow(_finish, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
+    empty = again.select("doc_id", F.lit(True).alias("copy"))
+    all_gone = F.coalesce(F.col("copy"), F.lit(False)) & (F.col("n_words") >= WINDOW)
+    return (
+        whole.select("doc_id", "n_words", "sha")
+        .join(cut.unionByName(empty, allowMissingColumns=True), "doc_id", "left")
+        .select(
+            "doc_id",
+            "n_words",
+            F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+            F.when(all_gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+            F.when(all_gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        )
+    )
 
 
 def oracle() -> str:
