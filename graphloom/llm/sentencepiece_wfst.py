@@ -273,22 +273,25 @@ def _utf8(raw: bytes) -> str:
 _machines: dict[str, Machine] = {}
 
 
-def _machine(model) -> Machine:
+def _machine(model, key: str) -> Machine:
     """The machine of a broadcast model, compiled once in each Python worker."""
-    key = str(model.id)
     if key not in _machines:
         _machines.clear()
         _machines[key] = Machine(model.value)
     return _machines[key]
 
 
-def _encode(model, column: int):
+def _key(model: Model) -> str:
+    return hashlib.sha256(repr(model).encode()).hexdigest()
+
+
+def _encode(model, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _machine(model)
+        m = _machine(model, key)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                texts = part.column(column).to_pylist()
+                texts = part.column(1).to_pylist()
                 ids = [m.encode(t) for t in texts]
                 back = [m.decode(x) for x in ids]
                 sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -309,12 +312,12 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     schema = "doc_id long, n_ids long, ids array<int>, decoded string, decoded_sha256 string, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(shared, 1), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(shared, _key(model)), schema)
 
 
-def _decode(model):
+def _decode(model, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _machine(model)
+        m = _machine(model, key)
         for batch in batches:
             text = [m.decode(x.values.to_pylist()) if x.is_valid else "" for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
@@ -325,4 +328,4 @@ def _decode(model):
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) for each row of ``encoded`` (doc_id, ids)."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(_decode(shared), "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(_decode(shared, _key(model)), "doc_id long, text string")
