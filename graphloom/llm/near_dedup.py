@@ -9,8 +9,9 @@ Texts with equal sets are one representative from the start, so exact copies nev
 representatives is not expanded into pairs:
 
 1. Its smallest member is compared with all others, and components are made of the links (linear in the bucket).
-2. Only where members of different components are left, those outside the bucket's largest component are compared with the
-   rest. Blocks of outsiders meet blocks of members, so that a task holds one block of each, and a pair goes on to exact
+2. Where members of different components are left, each of those outside the bucket's largest component is compared with the
+   member that its signature is nearest to, which joins most of them.
+3. Only where different components are left even then, those outside the largest one are compared with the rest. Blocks of outsiders meet blocks of members, so that a task holds one block of each, and a pair goes on to exact
    comparison only if its signatures agree in a share of the coordinates that is SLACK below the threshold, or more. A linked pair
    falls short of that with a chance under 1e-7, as rare as missing every bucket.
 
@@ -34,9 +35,10 @@ from graphloom.llm.graph import components
 from graphloom.session import materialise, release
 
 RING = 1 << 20
-COORDINATES = 192
-#: Signatures of linked pairs agree in this much less than the threshold, or more: over 5 standard deviations.
-SLACK = 0.155
+#: Coordinates of every text, and of those that share a bucket (the first ones are the same).
+COORDINATES, LONG = 192, 1024
+#: Long signatures of linked pairs agree in this much less than the threshold, or more: over 5 standard deviations.
+SLACK = 0.067
 #: Outsiders and members of a bucket that one task compares at a time.
 OUTSIDERS, MEMBERS = 64, 1024
 #: Copies of each group of equal sets among which its rows are dealt when they look up their representative.
@@ -54,20 +56,20 @@ _A, _B, _C = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 
 def _second_permutation() -> np.ndarray:
     values = np.random.default_rng(19).permutation(RING).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([values, values[:COORDINATES]]), COORDINATES)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([values, values[:LONG]]), LONG)
 
 
 _shifted: list[np.ndarray] = []
 
 
-def signature(names: np.ndarray) -> np.ndarray:
-    """COORDINATES least values over the set; the first permutation is the top bits of the mixed names."""
+def signature(names: np.ndarray, count: int = COORDINATES) -> np.ndarray:
+    """``count`` least values over the set; the first permutation is the top bits of the mixed names."""
     if not _shifted:
         _shifted.append(_second_permutation())
-    least = np.full(COORDINATES, 0xFFFFFFFF, dtype=np.uint32)
+    least = np.full(count, 0xFFFFFFFF, dtype=np.uint32)
     places = (mix(names ^ _C) >> U(44)).astype(np.int64)
-    for i in range(0, len(places), 2048):
-        np.minimum(least, _shifted[0][places[i : i + 2048]].min(axis=0), out=least)
+    for i in range(0, len(places), 1024):
+        np.minimum(least, _shifted[0][places[i : i + 1024], :count].min(axis=0), out=least)
     return least
 
 
@@ -107,13 +109,12 @@ def _signatures(width: int, percent: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in pieces(batch):
-                    ids, size, one, two, sigs, bands = part.column(0), [], [], [], [], []
+                    ids, size, one, two, bands = part.column(0), [], [], [], []
                     for s in shingle_sets(part.column(1), width):
                         size.append(len(s))
                         one.append(int(_signed(np.add.reduce(mix(s), keepdims=True))[0]) if len(s) else 0)
                         two.append(int(_signed(np.bitwise_xor.reduce(mix(s * _B), keepdims=True))[0]) if len(s) else 0)
                         sig = signature(s) if len(s) else None
-                        sigs.append(sig.astype(np.uint16).tobytes() if sig is not None else None)
                         if sig is None:
                             bands.append(None)
                             continue
@@ -123,8 +124,8 @@ def _signatures(width: int, percent: int):
                             key = mix(key * _A + rows[:, j])
                         bands.append(_signed(key))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                        names=["doc_id", "n_shingles", "f1", "f2", "sig", "bands"],
+                        [ids, pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                        names=["doc_id", "n_shingles", "f1", "f2", "bands"],
                     )
 
     return run
@@ -135,7 +136,10 @@ def _sets(width: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in pieces(batch):
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), width)], pa.binary())], names=["doc_id", "names"])
+                    sets = shingle_sets(part.column(1), width)
+                    # A byte of each coordinate is enough: different values look equal one time in 256, which lets a pair through, never stops it.
+                    long = [(signature(s, LONG) & 0xFF).astype(np.uint8).tobytes() for s in sets]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(long, pa.binary())], names=["doc_id", "names", "marks"])
 
     return run
 
@@ -167,36 +171,38 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
-def _blocks(pdf: pd.DataFrame, agree: float) -> pd.DataFrame:
-    """Of one block of outsiders and one of members: the pairs of different components whose signatures agree enough."""
+def _blocks(pdf: pd.DataFrame, agree: float, nearest: bool) -> pd.DataFrame:
+    """Of one block of outsiders and one of members: the pairs of different components whose signatures agree enough; or the best one of each outsider."""
     out, mem = pdf[pdf["outside"]], pdf[~pdf["outside"]]
     rows: list[pd.DataFrame] = []
     if len(out) and len(mem):
-        m = np.frombuffer(b"".join(mem["sig"]), dtype=np.uint16).reshape(len(mem), COORDINATES)
+        m = np.frombuffer(b"".join(mem["marks"]), dtype=np.uint8).reshape(len(mem), LONG)
         ids, labels = mem["id"].to_numpy(), mem["component"].to_numpy()
-        for i, c, s in zip(out["id"], out["component"], out["sig"], strict=True):
-            same = (m == np.frombuffer(s, dtype=np.uint16)).sum(axis=1) >= agree * COORDINATES
-            hit = ids[same & (labels != c)]
-            rows.append(pd.DataFrame({"a": np.minimum(hit, i), "b": np.maximum(hit, i)}))
+        for i, c, s in zip(out["id"], out["component"], out["marks"], strict=True):
+            same = np.where(labels != c, (m == np.frombuffer(s, dtype=np.uint8)).sum(axis=1), -1)
+            hit = np.flatnonzero(same >= agree * LONG)
+            if nearest and len(hit):
+                hit = hit[[np.lexsort((ids[hit], -same[hit]))[0]]]
+            rows.append(pd.DataFrame({"a": np.minimum(ids[hit], i), "b": np.maximum(ids[hit], i)}))
     return pd.concat(rows) if rows else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
 
-def _remaining(buckets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _remaining(buckets: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of one bucket but different components, one of them outside the bucket's largest component."""
     named = buckets.join(labels, F.col("rep") == F.col("id"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     counts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", F.negative("component"))).alias("largest"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outsiders"))
     # Counted by bucket first, so this has a row a bucket; most have one component and go.
     top = materialise(top.filter(F.col("outsiders") > 0), "mixed")
-    mixed = named.join(top, "bucket").join(reps.select(F.col("doc_id").alias("rep"), "sig"), "rep")
+    mixed = named.join(top, "bucket").join(sets.select(F.col("doc_id").alias("rep"), "marks"), "rep")
     n_out, n_mem = F.ceil(F.col("outsiders") / OUTSIDERS).cast("int"), F.ceil(F.col("members") / MEMBERS).cast("int")
     outside = F.col("component") != F.col("largest")
     part = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
-    base = ["bucket", F.col("rep").alias("id"), "component", "sig"]
+    base = ["bucket", F.col("rep").alias("id"), "component", "marks"]
     outs = mixed.filter(outside).select(*base, part(n_out, 1).alias("i"), F.explode(F.sequence(F.lit(0), n_mem - 1)).alias("j"), F.lit(True).alias("outside"))
     mems = mixed.select(*base, F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), part(n_mem, 2).alias("j"), F.lit(False).alias("outside"))
-    met = outs.unionByName(mems).select("bucket", "i", "j", "id", "component", "sig", "outside")
-    pairs = met.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _blocks(pdf, percent / 100 - SLACK), "a long, b long")
+    met = outs.unionByName(mems).select("bucket", "i", "j", "id", "component", "marks", "outside")
+    pairs = met.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _blocks(pdf, percent / 100 - SLACK, nearest), "a long, b long")
     return pairs.distinct()
 
 
@@ -212,20 +218,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     the smallest doc_id that links reach, and that document is kept. ``percent`` should be 80 or more for the bands.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sigs = materialise(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>"), "sigs")
+    sigs = materialise(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sigs")
     groups = materialise(representatives(sigs), "groups")
-    reps = materialise(sigs.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "reps")
+    reps = materialise(sigs.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands"), "reps")
     members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
     leaders = materialise(members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "leaders")
     buckets = materialise(members.join(leaders.select("bucket", "leader"), "bucket"), "buckets")
-    sets = materialise(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, names binary"), "sets")
+    sets = materialise(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, names binary, marks binary"), "sets")
     stars = buckets.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(_linked(stars, sets, percent), "links")
     labels = components(links)
-    more = _remaining(buckets.select("bucket", "rep"), reps, labels, percent)
-    found = materialise(_linked(more, sets, percent), "links")
-    labels = components(links.union(found))
-    for t in (leaders, buckets, sets, reps, links, found):
+    for nearest in (True, False):
+        more = _remaining(buckets.select("bucket", "rep"), sets, labels, percent, nearest)
+        found = materialise(_linked(more, sets, percent).union(links), "links")
+        release(links)
+        links = found
+        labels = components(links)
+    for t in (leaders, buckets, sets, reps, links):
         release(t)
     named = groups.join(labels, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "copies", "rep")
     # A set held by one document finds its row by that document; rows of a set with copies look it up among SALTS copies of it.
@@ -233,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     single = named.filter("copies = 1").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     rows = sigs.select("doc_id", "n_shingles", "f1", "f2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     out = rows.join(single.unionByName(salted).drop("copies", "rep"), ["f1", "f2", "n_shingles", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    lost = docs.filter(F.col("doc_id").isNull()).mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, f1 long, f2 long, sig binary, bands array<long>")
+    lost = docs.filter(F.col("doc_id").isNull()).mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
     out = out.unionByName(lost.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
