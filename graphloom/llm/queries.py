@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, sentencepiece_wfst, substring_dedup, url_filters
+from graphloom.llm import decontamination, html_extraction, language_id, near_dedup, quality_classifier, quality_rules, secret_scans, sentencepiece_wfst, substring_dedup, url_filters
 from graphloom.llm.statistics import COUNTS
 from graphloom.session import table
 
@@ -13,6 +13,10 @@ from graphloom.session import table
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
@@ -51,6 +55,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
     "op3_near_dedup": op3_near_dedup,
     "op4_url_filters": op4_url_filters,
