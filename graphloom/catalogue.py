@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from graphloom.plans import eval_queries, graph_queries, text_queries
+
+QUERIES: dict = text_queries.QUERIES | graph_queries.QUERIES | eval_queries.QUERIES
+ORACLES: dict = text_queries.ORACLES | graph_queries.ORACLES | eval_queries.ORACLES
