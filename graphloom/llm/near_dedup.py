@@ -102,6 +102,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def band_keys(sig: np.ndarray, bands_n: int, rows_n: int) -> np.ndarray:
+    """The buckets of a signature: a 64-bit name of each band's place and coordinates."""
+    rows = sig[: bands_n * rows_n].reshape(bands_n, rows_n).astype(np.uint64)
+    key = np.arange(1, bands_n + 1, dtype=np.uint64) * _C
+    for j in range(rows_n):
+        key = mix(key * _A + rows[:, j])
+    return key
+
+
 def _signatures(width: int, percent: int):
     bands_n, rows_n = bands_of(percent)
 
@@ -118,11 +127,7 @@ def _signatures(width: int, percent: int):
                         if sig is None:
                             bands.append(None)
                             continue
-                        rows = sig[: bands_n * rows_n].reshape(bands_n, rows_n).astype(np.uint64)
-                        key = np.arange(1, bands_n + 1, dtype=np.uint64) * _C
-                        for j in range(rows_n):
-                            key = mix(key * _A + rows[:, j])
-                        bands.append(_signed(key))
+                        bands.append(_signed(band_keys(sig, bands_n, rows_n)))
                     yield pa.RecordBatch.from_arrays(
                         [ids, pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                         names=["doc_id", "n_shingles", "f1", "f2", "bands"],
@@ -131,15 +136,19 @@ def _signatures(width: int, percent: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, percent: int):
+    shape = bands_of(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in pieces(batch):
                     sets = shingle_sets(part.column(1), width)
+                    long = [signature(s, LONG) for s in sets]
                     # A byte of each coordinate is enough: different values look equal one time in 256, which lets a pair through, never stops it.
-                    long = [(signature(s, LONG) & 0xFF).astype(np.uint8).tobytes() for s in sets]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(long, pa.binary())], names=["doc_id", "names", "marks"])
+                    marks = [(x & 0xFF).astype(np.uint8).tobytes() for x in long]
+                    bands = [band_keys(x, *shape).astype(np.uint32).tobytes() for x in long]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "names", "marks", "places"])
 
     return run
 
@@ -172,19 +181,29 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(pdf: pd.DataFrame, agree: float, nearest: bool) -> pd.DataFrame:
-    """Of one block of outsiders and one of members: the pairs of different components whose signatures agree enough; or the best one of each outsider."""
+    """Of one block of outsiders and one of members: the pairs of different components whose signatures agree enough; or the best one of each outsider.
+
+    A pair that shares an earlier bucket too is left to that one, so each goes on once.
+    """
     out, mem = pdf[pdf["outside"]], pdf[~pdf["outside"]]
     rows: list[pd.DataFrame] = []
     if len(out) and len(mem):
         m = np.frombuffer(b"".join(mem["marks"]), dtype=np.uint8).reshape(len(mem), LONG)
+        places = np.frombuffer(b"".join(mem["places"]), dtype=np.uint32).reshape(len(mem), -1)
+        here = np.array([pdf["bucket"].iloc[0]], dtype=np.int64).astype(np.uint32)[0]
         ids, labels = mem["id"].to_numpy(), mem["component"].to_numpy()
-        for i, c, s in zip(out["id"], out["component"], out["marks"], strict=True):
+        for i, c, s, p in zip(out["id"], out["component"], out["marks"], out["places"], strict=True):
             same = np.where(labels != c, (m == np.frombuffer(s, dtype=np.uint8)).sum(axis=1), -1)
             hit = np.flatnonzero(same >= agree * LONG)
-            if nearest and len(hit):
+            if not len(hit):
+                continue
+            if nearest:
                 hit = hit[[np.lexsort((ids[hit], -same[hit]))[0]]]
-            rows.append(pd.DataFrame({"a": np.minimum(ids[hit], i), "b": np.maximum(ids[hit], i)}))
-    return pd.concat(rows) if rows else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+            else:
+                own = np.frombuffer(p, dtype=np.uint32)
+                hit = hit[own[(places[hit] == own).argmax(axis=1)] == here]
+            rows.append(pd.DataFrame({"o": i, "a": np.minimum(ids[hit], i), "b": np.maximum(ids[hit], i), "same": same[hit]}))
+    return pd.concat(rows) if rows else pd.DataFrame({k: pd.Series(dtype="int64") for k in ("o", "a", "b", "same")})
 
 
 def _remaining(buckets: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -194,16 +213,18 @@ def _remaining(buckets: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     top = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", F.negative("component"))).alias("largest"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outsiders"))
     # Counted by bucket first, so this has a row a bucket; most have one component and go.
     top = materialise(top.filter(F.col("outsiders") > 0), "mixed")
-    mixed = named.join(top, "bucket").join(sets.select(F.col("doc_id").alias("rep"), "marks"), "rep")
+    mixed = named.join(top, "bucket").join(sets.select(F.col("doc_id").alias("rep"), "marks", "places"), "rep")
     n_out, n_mem = F.ceil(F.col("outsiders") / OUTSIDERS).cast("int"), F.ceil(F.col("members") / MEMBERS).cast("int")
     outside = F.col("component") != F.col("largest")
     part = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
-    base = ["bucket", F.col("rep").alias("id"), "component", "marks"]
+    base = ["bucket", F.col("rep").alias("id"), "component", "marks", "places"]
     outs = mixed.filter(outside).select(*base, part(n_out, 1).alias("i"), F.explode(F.sequence(F.lit(0), n_mem - 1)).alias("j"), F.lit(True).alias("outside"))
     mems = mixed.select(*base, F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), part(n_mem, 2).alias("j"), F.lit(False).alias("outside"))
-    met = outs.unionByName(mems).select("bucket", "i", "j", "id", "component", "marks", "outside")
-    pairs = met.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _blocks(pdf, percent / 100 - SLACK, nearest), "a long, b long")
-    return pairs.distinct()
+    met = outs.unionByName(mems).select("bucket", "i", "j", "id", "component", "marks", "places", "outside")
+    pairs = met.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _blocks(pdf, percent / 100 - SLACK, nearest), "o long, a long, b long, same long")
+    if nearest:  # the best of those found in each block and bucket
+        pairs = pairs.groupBy("o").agg(F.max_by(F.struct("a", "b"), F.struct("same", F.negative("a"), F.negative("b"))).alias("p")).select("p.a", "p.b")
+    return pairs.select("a", "b").distinct()
 
 
 def representatives(sigs: DataFrame) -> DataFrame:
@@ -224,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
     leaders = materialise(members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "leaders")
     buckets = materialise(members.join(leaders.select("bucket", "leader"), "bucket"), "buckets")
-    sets = materialise(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, names binary, marks binary"), "sets")
+    sets = materialise(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width, percent), "doc_id long, names binary, marks binary, places binary"), "sets")
     stars = buckets.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(_linked(stars, sets, percent), "links")
     labels = components(links)
