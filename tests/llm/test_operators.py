@@ -1,0 +1,322 @@
+"""The ten operators: oracles on the small tables, brute force on fixtures, and odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+from html import escape
+
+import numpy as np
+import pytest
+from compare import SF, oracle_rows, spark_rows
+from pyspark.sql import functions as F
+
+from graphloom.llm import decontamination, html_extraction, language_id, near_dedup, quality_classifier, quality_rules, queries, secret_scans, sentencepiece_wfst, substring_dedup, url_filters
+from graphloom.llm.html_blocks import blocks
+from graphloom.llm.page_templates import sample_page
+from graphloom.session import table
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_oracle(spark, name):
+    assert spark_rows(queries.QUERIES[name](spark, SF)) == oracle_rows(queries.ORACLES[name])
+
+
+def odd_docs(spark):
+    """Null ids and texts, empty and blank ones, a long one, ties, repeated rows, and columns named like those of results."""
+    rng = random.Random(1)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 500)) for _ in range(40_000))
+    rows = [(1, "a b c d e f", "en"), (1, "a b c d e f", "en"), (2, "A b c d e f", "en"), (3, None, "en"), (4, "", None), (5, " \n\t ", None), (None, "a b c d e f", None), (None, None, None), (6, long, "en"), (7, long, "en"), (8, "x", "de"), (9, "ü ß", "de")]
+    df = spark.createDataFrame([(i, t, l, None, None) for i, t, l in rows], DOC)
+    return df.withColumns({c: F.lit("clash") for c in ("score", "kept", "host", "id", "bucket", "n_words", "held_out", "spans", "item_id", "copies")})
+
+
+def odd_labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect() if r.doc_id is not None}
+
+
+# 1
+
+def test_labeller_on_generated_pages_it_has_not_seen():
+    net, rng = html_extraction.labeller(), np.random.default_rng(12345)
+    pages = [(blocks(h), np.array(l)) for h, l in (sample_page(rng) for _ in range(200))]
+    assert all(len(b) == len(l) for b, l in pages)
+    got = html_extraction.label(net, [b for b, _ in pages])
+    assert sum((g != l).sum() for g, (_, l) in zip(got, pages)) / sum(len(l) for _, l in pages) < 0.02
+
+
+def test_labeller_on_hand_made_pages():
+    net = html_extraction.labeller()
+    page = "<html><body><div class='site-header'><a href=/>Logo</a></div><div id=main-menu><a href=1>One</a> <a href=2>Two</a></div><div class=post><h1>A&amp;B &#x2014; title</h1><p>First  para\n of text, and so on it goes.<p>Second para is long &lt;too&gt;, I think.</div><div id=comments><h3>Comments</h3><p>Bob said this is a long comment with plenty of words in it, really.</div><div class=cookie-notice>We use cookies.</div><div id=footer>Copyright 2020</div>"
+    assert html_extraction.main_texts(net, [page, None, "", "<!-- only -->", "<script>var a='<p>x</p>'"]) == ["A&B — title\nFirst para of text, and so on it goes.\nSecond para is long <too>, I think.", "", "", "", ""]
+
+
+def test_blocks_of_broken_markup():
+    text = lambda h: [b.text for b in blocks(h)]
+    assert text("<p>a<b>b</i>c<p>d</div>e<br>f") == ["abc", "de f"] or text("<p>a<b>b</i>c<p>d</div>e<br>f") == ["abc", "d", "e f"]
+    assert text('<p title="a>b">x<img alt="<p>">y</p><p>1 < 2') == ["xy", "1 < 2"]
+    assert text("<style>p{}</style><p>a<script>'</p>'</script>b<textarea><p>no</textarea>") == ["ab"]
+    assert text("x" * 10 + "<p " * 20_000) == ["x" * 10]
+    assert text("<p>&amp;lt; &nbsp; &copy 1 &bogus; &#0; z") == ["&lt; © 1 &bogus; \ufffd z"]
+    assert [b.linked for b in blocks("<p><a href=x>abc</a> d")] == [3]
+
+
+def test_pages_of_the_table(spark):
+    def want(html):
+        inner = re.search("<article>(.*)</article>", html, re.S)[1]
+        parts = (" ".join(_decode(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1|br)>", inner))
+        return "\n".join(p for p in parts if p)
+
+    rows = queries.op1_html_extraction(spark, SF).join(table(spark, SF, "pages").select("page_id", "html"), "page_id").collect()
+    assert rows and all(r.text == want(r.html) and r.n_chars == len(r.text) for r in rows)
+    odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, f"<p>{escape('é & ü ' * 3)}")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    assert sorted((r.page_id or 0, r.n_chars) for r in html_extraction.extract(odd).collect())[:3] == [(0, 0), (1, 0), (1, 0)]
+    assert html_extraction.extract(odd.limit(0)).count() == 0
+
+
+def _decode(x):
+    from html import unescape
+
+    return unescape(x)
+
+
+# 2
+
+def brute_counts(text):
+    words = WORDS.findall(text or "")
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    wins = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    count = {}
+    for w in wins:
+        count[w] = count.get(w, 0) + 1
+    rep = {i + j for i, w in enumerate(wins) if count[w] > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(rep)
+
+
+def test_quality_counts_against_brute_force(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text").unionByName(odd_docs(spark).select(F.col("doc_id") + 1_000_000, "text").toDF("doc_id", "text"))
+    rows = quality_rules.judge(docs, table(spark, SF, "labels")).join(docs.dropDuplicates(["doc_id"]), "doc_id").collect()
+    for r in rows:
+        want = brute_counts(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
+
+
+def test_trees_rise_and_fall_as_told():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, len(quality_rules.FEATURES)))
+    k = quality_rules.FEATURES.index("symbol_share")
+    y = (x[:, k] + 0.5 * rng.random(3000) < 0.8).astype(float)
+    trees = quality_rules.fit(x, y)
+    grid = np.repeat(x[:1], 50, axis=0)
+    grid[:, k] = np.linspace(0, 1, 50)
+    score = trees.score(grid) if hasattr(trees, "score") else quality_rules.score(trees, grid)
+    assert (np.diff(score) <= 1e-12).all() and score[0] > score[-1]
+
+
+# 3
+
+def brute_components(docs, width, percent):
+    sets = {}
+    for i, t in docs:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORDS.findall(t or "")]
+        sets[i] = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+    comp = {i: i for i in sets}
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((comp[a], comp[b]))
+                comp = {k: x if v == y else v for k, v in comp.items()}
+    return {i: (len(sets[i]), comp[i]) for i in ids}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(5)
+    docs, base = [], [[rng.choice("abcdefghijkl") + str(rng.randint(0, 9)) for _ in range(rng.randint(5, 90))] for _ in range(12)]
+    for i in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = "z" + str(rng.randint(0, 99))
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for width, percent in ((3, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, width, percent).collect()}
+        assert got == brute_components(docs, width, percent)
+
+
+def test_near_duplicates_odd(spark):
+    odd = odd_docs(spark)
+    rows = near_dedup.near_duplicates(odd, 3, 85).collect()
+    assert len(rows) == odd.count()
+    got = {r.doc_id: r.component_id for r in rows}
+    assert got[1] == got[2] == 1 and got[7] == 6 and got[3] == 3 and got[4] == 4
+    assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
+    assert near_dedup.deduplicate(odd, 3, 85).columns == odd.columns
+    assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
+
+
+# 4
+
+def test_urls(spark):
+    urls = ["http://a.example.com/en/71", "HTTP://EXAMPLE.com/en/1", "x://example.net/de/81", "x://b.org/es/", "x://b.org?/es/", "no url", None, "://", "http://deep." * 50 + "spam-farm.example.org/x", "http://notexample.com/en", "http://spam-farm.example.org"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(df.select("page_id", "url")).collect()}
+    assert [got[i] for i in range(7)] == [("example.com/en/7", "allow"), ("com/en/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+    assert got[10][1] == "block" and got[9] == (None, "allow")
+    assert url_filters.filter_urls(df.select("page_id", "url").limit(0)).count() == 0
+
+
+# 5
+
+def brute_removed(docs, window=50):
+    first, out = {}, {}
+    words = {i: WORDS.findall(t or "") for i, t in docs}
+    for i in sorted(words):
+        for j in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][j : j + window]), i)
+    for i, w in words.items():
+        gone = {k for j in range(len(w) - window + 1) if first[tuple(w[j : j + window])] < i for k in range(j, j + window)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+def test_repeated_passages_against_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefg") * rng.randint(1, 3)
+    passages = [[word() for _ in range(rng.randint(45, 130))] for _ in range(6)] + [["same"] * 120, ["x", "y"] * 60]
+    docs = [(i, " ".join([word() for _ in range(rng.randint(0, 60))] + rng.choice(passages) + [word() for _ in range(rng.randint(0, 30))])) for i in range(80)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_removed(docs)
+
+
+def test_repeated_passages_odd(spark):
+    odd = odd_docs(spark)
+    rows = substring_dedup.repeated(odd).collect()
+    assert len(rows) == odd.count()
+    got = {r.doc_id: r for r in rows}
+    assert got[6].n_removed == 0 and got[7].n_removed == 40_000 and got[3].n_words == 0
+    assert substring_dedup.repeated(odd.limit(0)).count() == 0
+
+
+# 6
+
+def test_encoding_equals_the_tokenizer(spark):
+    import sentencepiece as spm
+
+    sp = spm.SentencePieceProcessor(model_file=queries.VOCABULARY)
+    texts = [r.text for r in table(spark, SF, "documents").select("text").collect()][:60] + [None, "", " ", "  two  spaces ", "日本語 😀 tab\there\nline", "a" * 300, "\u2581x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    model = sentencepiece_wfst.load(queries.VOCABULARY)
+    rows = by_id(sentencepiece_wfst.encode(df, model))
+    for i, t in enumerate(texts):
+        assert list(rows[i].ids) == sp.encode(t or ""), (i, t)
+        assert rows[i].decoded == sp.decode(list(rows[i].ids))
+    back = by_id(sentencepiece_wfst.decode(sentencepiece_wfst.encode(df, model), model))
+    assert all(back[i].text == rows[i].decoded for i in back)
+    assert sentencepiece_wfst.encode(df.limit(0), model).count() == 0
+
+
+# 7
+
+def test_quality_classifier_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = table(spark, sf, "labels")
+    rows = quality_classifier.classify(table(spark, sf, "documents"), labels).join(labels, "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
+    good, bad = [r.score for r in held if r.quality == 1], [r.score for r in held if r.quality == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(held) > 50 and auc > 0.85
+
+
+def test_classifiers_odd(spark):
+    odd, labels = odd_docs(spark), odd_labels(spark)
+    for df in (quality_classifier.classify(odd, labels), quality_rules.judge(odd, labels), language_id.identify(odd)):
+        assert df.count() == odd.count()
+    none = labels.limit(0)
+    assert {(r.score, r.predicted) for r in quality_classifier.classify(odd, none).collect()} == {(0.5, 0)}
+    assert quality_classifier.classify(odd.limit(0), labels).count() == 0 and quality_rules.judge(odd.limit(0), none).count() == 0
+    langs = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(odd).collect()}
+    assert langs[3] == langs[4] == langs[5] == ("und", 0.0) and langs[9][0] in ("de", "en")
+    assert language_id.identify(odd.limit(0)).count() == 0
+
+
+# 8
+
+def test_languages_of_held_out_rows(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = language_id.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").filter("held_out and lang_pred <> 'und' and length(text) > 20").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
+    assert len(rows) > 100 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
+
+
+def test_gradient_of_the_network():
+    net = language_id.Network.fresh(["a", "b"])
+    net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    rng = np.random.default_rng(2)
+    seq, y = rng.integers(97, 123, (6, 3)).astype(np.uint8), np.array([0, 1, 1])
+    weight = np.full((6, 3), 1 / 18)
+    _, grad = net.gradient(seq, y, weight)
+    for k in ("gf", "cb", "o"):
+        at, eps = (1, 2 if k != "o" else 1), 1e-3
+        was = net.weights[k][at]
+        net.weights[k][at] = was + eps
+        up = net.gradient(seq, y, weight)[0]
+        net.weights[k][at] = was - eps
+        down = net.gradient(seq, y, weight)[0]
+        net.weights[k][at] = was
+        assert abs((up - down) / (2 * eps) - grad[k][at]) < 2e-3
+
+
+# 9
+
+def test_templates_are_caught_and_slots_checked(spark):
+    item = "A train leaves Boston at 9 and runs 120 miles to Albany while another train leaves Albany at 11 and runs back to Boston at half the pace of the first"
+    same = item.replace("Boston", "Lyon").replace("120", "340").replace("Albany", "Dijon")
+    wrong = item.replace("Boston", "Lyon", 1).replace("120", "340")
+    pad = "some other words that stand before it and have nothing to do with it at all"
+    docs = spark.createDataFrame([(1, f"{pad} {item} {pad}"), (2, f"{pad} {same} {pad}"), (3, pad), (4, None), (4, None), (None, item), (5, ""), (6, wrong)], "doc_id long, text string").withColumn("item_id", F.lit(1))
+    bench = spark.createDataFrame([(10, item), (11, None), (12, "too short")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert {(1, 10), (2, 10)} <= found and not {d for d, _ in found} & {3, 4, 5}
+    kept = [r.doc_id for r in decontamination.decontaminate(docs, bench).collect()]
+    assert {3, 4, 5} <= set(kept) and not {1, 2} & set(kept) and kept.count(4) == 2
+    assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
+
+
+# 10
+
+def test_window_entropy_against_brute_force(spark):
+    rng = random.Random(4)
+    runs = ["".join(rng.choice("abcXYZ0189+/") for _ in range(rng.randint(20, 90))) for _ in range(30)] + ["a" * 20, "ab" * 15]
+    want = []
+    for r in runs:
+        w = secret_scans.WINDOW
+        h = lambda s: -sum(s.count(c) / len(s) * np.log2(s.count(c) / len(s)) for c in set(s))
+        want.append(max(h(r[i : i + w]) for i in range(len(r) - w + 1)))
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in runs], "t string").coalesce(1).select(secret_scans.window_entropy(F.col("t"))).collect()]
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_secrets(spark):
+    texts = ['é password = "hunter22" x', "AKIA" + "A1" * 8, "key ab" * 3 + " " + "0123abcd" * 4, "apikey:abc", None, "", "id 123e4567-e89b-12d3-a456-426614174000", "v Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = by_id(secret_scans.digest(df))
+    assert [(rows[i].n_assign, rows[i].n_access, rows[i].n_hex) for i in range(7)] == [(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+    assert rows[0].spans == "assign:2:22" and rows[6].spans == "" and rows[7].spans.startswith("entropy:")
+    masked = by_id(secret_scans.redact(df))
+    assert "hunter22" not in masked[0].text and masked[3].text == "apikey:abc" and masked[4].text is None
+    assert secret_scans.digest(df.limit(0)).count() == 0 and secret_scans.digest(odd_docs(spark)).count() == odd_docs(spark).count()
