@@ -186,19 +186,24 @@ class Machine:
         n = len(text)
         last: list[str | None] = [""] + [None] * n
         ids, prefixes, pairs, merged = self.ids, self.prefixes, self.pairs, self.merged
-        for i in range(n):
-            before = last[i]
-            if before is None:
-                continue
-            for end in range(i + 1, n + 1):
-                part = text[i:end]
+        # Arcs are followed depth first, the longest one first: that is most often the right one, and few pairs are looked at.
+        open_arcs: list[tuple[int, int]] = []
+        at = 0
+        while last[n] is None:
+            for end in range(at + 1, n + 1):
+                part = text[at:end]
                 if part in prefixes:
-                    if part not in ids and end > i + 1:
+                    if part not in ids and end > at + 1:
                         continue
-                elif end > i + 1:
+                elif end > at + 1:
                     break
+                if last[end] is None:
+                    open_arcs.append((at, end))
+            while True:
+                at, end = open_arcs.pop()
                 if last[end] is not None:
                     continue
+                before, part = last[at], text[at:end]
                 key = (before, part)
                 ok = pairs.get(key)
                 if ok is None:
@@ -206,7 +211,8 @@ class Machine:
                         pairs.clear()
                     ok = pairs[key] = merged(before + part) == ([before, part] if before else [part])
                 if ok:
-                    last[end] = part
+                    last[end], at = part, end
+                    break
         out, at = [], n
         while at > 0:
             out.append(last[at])
@@ -233,10 +239,18 @@ class Machine:
         return found
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.path, self.stretches(self.normalise(text or "")))))
+        stretches = self.stretches(self.normalise(text or ""))
+        found = list(map(self.paths.get, stretches))
+        if None in found:
+            found = [self.path(s) if ids is None else ids for s, ids in zip(stretches, found, strict=True)]
+        return list(chain.from_iterable(found))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each."""
+        ids = list(ids)
+        if self.byte_of.keys().isdisjoint(ids):
+            whole = "".join(map(self.texts.__getitem__, ids))
+            return whole[1:] if self.model.prefix and whole.startswith(" ") else whole
         out: list[str] = []
         raw = bytearray()
         for i in ids:
