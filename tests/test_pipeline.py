@@ -93,7 +93,8 @@ def test_word_files(spark, tmp_path):
     assert texts["d.docx"].text.split("\n")[:2] == ["A first paragraph ends here.", "ab"] and texts["t.txt"].text == "Plain text."
     assert texts["broken.docx"].error and texts["x.unknown"].error == "unknown extension"
     rows = [r.cells for r in files.tables(found).filter("cells is not null").orderBy("table_idx", "row_idx").collect()]
-    assert rows == [["x", "in", "in"], ["in"]]
+    # rows of a nested table count in the outer one too, and ordered by table the outer comes first
+    assert rows == [["x", "in", "in"], ["in"], ["in"]]
     ocr = lambda b: ["l1", "l2"] if b == b"1" else 1 / 0
     assert [(r.image_idx, bytes(r.image), r.ocr_text) for r in files.images(found, ocr).filter("image is not null").orderBy("image_idx").collect()] == [(0, b"1", "l1\nl2"), (1, b"2", "OCR Error")]
     assert files.table_csv([["a", "b,c"]], 1) == 'Table 1:\na,"b,c"\n\n'
