@@ -170,9 +170,8 @@ def embed_memo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def build_kg(spark: SparkSession, d: str) -> DataFrame:
-    """Items of the benchmark table as documents, from text to a merged graph."""
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return build_graph(docs)[1].select("start_name", "start_label", "end_name", "end_label", "label", "name")
+    """All documents, from text to a merged graph."""
+    return build_graph(table(spark, d, "documents").select("doc_id", "text"))[1].select("start_name", "start_label", "end_name", "end_label", "label", "name")
 
 
 QUERIES = {f.__name__: f for f in (cosine_pairs, vector_norms, weighted_embedding, merge_pair_entities, merge_pair_relations, merge_pair_log, tree_merge_entities, tree_merge_relations, merge_existing_kg, kg_entities, kg_relations, kg_append, kg_nodes, kg_edges, kg_triples, kg_isolated, kg_clear, kg_query, rule_extract, block_entity_dedup, embed_memo, build_kg)}
