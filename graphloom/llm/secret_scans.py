@@ -7,7 +7,8 @@ The entropy method looks at maximal runs of token characters that hold a digit a
 WINDOW characters slides over each; the counts of the entering and the leaving character update the sum of
 c log2 c, and the largest Shannon entropy of any window is held against the threshold of the run's character class
 (hexadecimal, alphanumeric, or base64). Runs that the allow-list knows (UUIDs, dates, words such as EXAMPLE) and runs
-that touch a pattern's span are passed over.
+that touch a pattern's span are passed over. Masking is stricter: there a run counts unless the patterns' spans cover all of it,
+and a run that the allow-list knows counts if it is still suspicious without its known pieces (KNOWN).
 
 Defined results: null text counts as empty and has no span. Ties in start are ordered by kind (assign, access, hex,
 entropy). Repeated rows are scanned alike; an empty table gives an empty result; other columns are kept as they are
@@ -37,6 +38,12 @@ ALLOW = (
     "|0123456789|ABCDEFGHIJ|abcdefghij"
     "|^[0-9]*[-/_=+]?[A-Z]?[a-z]+([-/_=+][A-Z]?[a-z]+)*[-/_=+]?[0-9]*$"
 )
+#: Pieces of a run that are left out before the rest is looked at in masking: UUIDs, dates with a time, and what stands between signs and holds a placeholder.
+KNOWN = (
+    "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+    "|(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])(T[0-9]{2}[0-9_-]*Z?(?![0-9A-Za-z]))?"
+    "|[0-9A-Za-z]*([Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|0123456789|ABCDEFGHIJ|abcdefghij)[0-9A-Za-z]*"
+)
 _SPAN = "struct<start:int,rank:int,end:int>"
 
 
@@ -100,8 +107,24 @@ def _suspicious(run: Column) -> Column:
     return F.when(mixed, F.when(~F.rlike(run, F.lit(ALLOW)), window_entropy(run) >= limit).otherwise(False)).otherwise(False)
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base_spans and spans (arrays of struct(start, rank, end), in order), n_assign, n_access, n_hex and n_entropy."""
+def _suspicious_without_known(run: Column) -> Column:
+    """:func:`_suspicious`, or the same of what KNOWN leaves of the run."""
+    rest = F.call_function("btrim", F.regexp_replace(run, KNOWN, ""), F.lit("-/_=+"))
+    return F.when(_suspicious(run), True).when(F.rlike(run, F.lit(ALLOW)), F.when(F.length(rest) >= WINDOW, _suspicious(rest)).otherwise(False)).otherwise(False)
+
+
+def _covered(run: Column, spans: Column) -> Column:
+    """Whether ``spans``, in order of start, cover the whole run."""
+    reached = F.aggregate(spans, run["start"], lambda at, x: F.when(x["start"] <= at, F.greatest(at, x["end"])).otherwise(at))
+    return reached >= run["end"]
+
+
+def scan(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
+    """Adds base_spans and spans (arrays of struct(start, rank, end), in order), n_assign, n_access, n_hex and n_entropy.
+
+    With ``whole``, runs that base spans cover in part only, and runs with a known piece in them, count as well.
+    """
+    suspicious = _suspicious_without_known if whole else _suspicious
     t = F.coalesce(F.col(text), F.lit(""))
     found = df.withColumn(
         "_found",
@@ -115,7 +138,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     f = F.col("_found")
     assign = F.filter(_placed(t, f["assign"], ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 6)
     # Only texts with a run that looks like a secret are split for its place.
-    runs = F.when(F.exists(f["run"], _suspicious), F.filter(_placed(t, f["run"], CANDIDATE), lambda x: _suspicious(x["match"]))).otherwise(
+    runs = F.when(F.exists(f["run"], suspicious), F.filter(_placed(t, f["run"], CANDIDATE), lambda x: suspicious(x["match"]))).otherwise(
         F.array().cast("array<struct<start:int,end:int,match:string>>")
     )
     placed = found.withColumn("_base", F.struct(_spans(assign, 0).alias("a"), _spans(_placed(t, f["access"], ACCESS), 1).alias("k"), _spans(_placed(t, f["hex"], HEX), 2).alias("h"))).withColumn(
@@ -123,7 +146,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     )
     b = F.col("_base")
     out = placed.withColumn("base_spans", F.array_sort(F.concat(b["a"], b["k"], b["h"])))
-    free = F.filter(F.col("_runs"), lambda r: ~F.exists(F.col("base_spans"), lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"])))
+    touched = lambda r: F.exists(F.col("base_spans"), lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"]))
+    free = F.filter(F.col("_runs"), lambda r: ~(_covered(r, F.col("base_spans")) if whole else touched(r)))
     out = out.withColumn("_free", free)
     return (
         out.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), F.col("_free"))))
@@ -149,7 +173,7 @@ def digest(df: DataFrame) -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """Every span of the text replaced by ``mark`` (spans that touch or overlap by one); texts without one stay as they are."""
-    s = scan(df, text)
+    s = scan(df, text, whole=True)
     t = F.coalesce(F.col(text), F.lit(""))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
