@@ -9,7 +9,9 @@ which no document that shows enough of the item can lack, pick the documents to
 Matches of one document and item are grouped by their offset (place in document less place in item): that is one
 copy of the item. In it every filler of a slot must stand for one filler only; ``3 pens ... 3 pens`` may become
 ``5 pens ... 5 pens`` but not ``5 pens ... 7 pens``. Windows of consistent copies are united over offsets, so that inserted or deleted words
-do not hide an item, and an item that shows SHARE of its windows is reported.
+do not hide an item, and an item that shows SHARE of its windows is reported. In a short item one word is in so many windows that
+a change does hide it, and so does quoting a part or changing capitals; decontaminate() therefore also takes documents that
+quote a run of an item's words (see quoted()).
 
 Defined results: null or short texts (fewer than WIDTH words) on either side have no window and are never reported.
 Repeated rows give the same pairs once per (doc_id, item_id). Empty tables give an empty result. Only the named
@@ -27,6 +29,8 @@ from graphloom.session import materialise
 
 WIDTH = 5
 SHARE = 0.8
+#: Words in a row, capitals aside, that make a quotation; half of the item's words where that is less, WIDTH at least.
+RUN = 8
 #: Words that are units of measure wherever they stand.
 UNITS = ("kg", "km", "cm", "mm", "ml", "mg", "lb", "lbs", "ft", "mph", "kmh", "usd", "eur", "gb", "mb", "hz", "khz", "mhz", "kwh", "hours", "minutes", "seconds", "meters", "metres", "kilometers", "miles", "dollars", "euros", "percent")
 PUNCTUATION = ".,;:!?\"'()[]{}<>*_#$%&|"
@@ -97,8 +101,46 @@ def anchors(items: DataFrame, share: float = SHARE) -> DataFrame:
     )
 
 
-def candidates(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Distinct doc_id of the documents that show a window of ``chosen`` (see :func:`anchors`).
+def _plain_windows_of(words: DataFrame, key: str) -> DataFrame:
+    """A row (key, at, window) for each WIDTH words in a row of a column ``_w``, in lower case."""
+    t = words.filter(F.size("_w") >= WIDTH).select(key, F.explode(F.array(F.transform("_w", F.lower))).alias("_t"))
+    shifted = [F.slice("_t", F.lit(j + 1), F.size("_t") - (WIDTH - 1)).alias(f"_t{j}") for j in range(WIDTH)]
+    text = F.transform(F.arrays_zip(*shifted), lambda x: F.concat_ws(" ", *[x[f"_t{j}"] for j in range(WIDTH)]))
+    return t.select(key, F.posexplode(text).alias("at", "window"))
+
+
+def _run_of(size: Column) -> Column:
+    return F.greatest(F.lit(WIDTH), F.least(F.lit(RUN), F.floor(size / 2))).cast("int")
+
+
+def quoted(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row (doc_id, item_id, n_words) for each document that quotes a run of an item's words, with the length of the longest run.
+
+    A run is RUN words (see there) that stand in a row on both sides, capitals aside. Each run of an item holds an anchor, its longest word; documents without an
+    anchor are not looked at.
+    """
+    docs = docs.select("doc_id", "text")
+    words = benchmark.select("item_id", "text").dropDuplicates(["item_id", "text"]).select("item_id", F.explode(F.array(words_of(F.col("text")))).alias("_w")).filter(F.size("_w") >= WIDTH)
+    # Texts of one item_id stay apart, so that windows of two of them make no run.
+    words = materialise(words.select(F.struct("item_id", F.xxhash64("_w").alias("h")).alias("item"), "_w", _run_of(F.size("_w")).alias("run")), "item-words")
+    items = materialise(_plain_windows_of(words, "item").join(words.select("item", "run"), "item").withColumnRenamed("at", "item_at"), "item-windows")
+    few = items.count() <= BROADCAST_WINDOWS
+    longest = lambda w: F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), F.lower(x).alias("word"))))["word"]
+    chosen = words.select("item", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("run") + 1), lambda i: longest(F.slice("_w", i, F.col("run")))))).alias("anchor"))
+    chosen = chosen.join(items.select("item", "window"), "item").filter(F.array_contains(F.split("window", " "), F.col("anchor"))).select("window", "anchor")
+    ids = materialise(candidates(docs, materialise(chosen, "item-anchors"), _plain_windows_of), "quoting")
+    near = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("doc_id", F.explode(F.array(words_of(F.col("text")))).alias("_w"))
+    # Rows of one doc_id stay apart as well.
+    near = near.select(F.struct("doc_id", F.xxhash64("_w").alias("h")).alias("doc"), "_w")
+    pairs = _plain_windows_of(near, "doc").join(F.broadcast(items) if few else items, "window")
+    places = pairs.select("doc", "item", "run", (F.col("at") - F.col("item_at")).alias("offset"), "item_at").distinct()
+    rank = F.row_number().over(W.partitionBy("doc", "item", "offset").orderBy("item_at"))
+    rows = places.withColumn("_island", F.col("item_at") - rank).groupBy("doc", "item", "run", "offset", "_island").agg((F.count(F.lit(1)) + (WIDTH - 1)).alias("n_words"))
+    return rows.filter("n_words >= run").groupBy("doc.doc_id", "item.item_id").agg(F.max("n_words").alias("n_words"))
+
+
+def candidates(docs: DataFrame, chosen: DataFrame, windows_of=_windows_of) -> DataFrame:
+    """Distinct doc_id of the documents that show a window of ``chosen`` (see :func:`anchors`), as ``windows_of`` makes them.
 
     The words of a document are tested once against the anchors; only around a hit are windows made.
     """
@@ -116,7 +158,7 @@ def candidates(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     first = lambda h: F.greatest(F.lit(0), h - (WIDTH - 1))
     around = F.transform("_h", lambda h: F.slice("_w", first(h) + 1, h + WIDTH - first(h)))
     near = t.select("doc_id", F.explode(around).alias("_w"))
-    found = _windows_of(near, "doc_id").select("doc_id", "window")
+    found = windows_of(near, "doc_id").select("doc_id", "window")
     chosen = chosen.select("window").distinct()
     return found.join(F.broadcast(chosen) if count <= BROADCAST_WINDOWS else chosen, "window", "left_semi").select("doc_id").distinct()
 
@@ -150,8 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The documents without those that :func:`contaminated` reports; all columns stay, and so do rows whose id is null."""
-    bad = contaminated(docs, benchmark, share).select("doc_id").distinct()
+    """The documents without those that :func:`contaminated` or :func:`quoted` reports; all columns stay, and so do rows whose id is null."""
+    bad = contaminated(docs, benchmark, share).select("doc_id").union(quoted(docs, benchmark).select("doc_id")).distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -329,3 +329,23 @@ def test_masking_leaves_no_part_of_a_key(spark):
     df = spark.createDataFrame(list(enumerate(texts + kept)), "doc_id long, text string")
     got = [r.text for r in secret_scans.redact(df).orderBy("doc_id").collect()]
     assert got == ["k [REDACTED] end"] * len(texts) + kept[:3] + ["only [REDACTED] end"]
+
+
+def test_parts_and_changed_capitals_of_items_are_taken_out(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    items = [" ".join(w.capitalize() if rng.random() < 0.3 else w for w in (word() for _ in range(n))) for n in (15, 20, 29, 59)]
+    texts = {}
+    for i, item in enumerate(items):
+        w = item.split()
+        changed = [w[:p] + ["other"] + w[p + 1 :] for p in range(len(w))]
+        for n, t in enumerate([w[: len(w) * 3 // 4], item.lower().split(), item.upper().split(), *changed]):
+            texts[1000 * (i + 1) + n] = " ".join([*(word() for _ in range(20)), *t, *(word() for _ in range(20))])
+    clean = {n: " ".join(items[n % 4].split()[3:7] + [word() for _ in range(30)] + items[n % 4].split()[8:14]) for n in range(20)}
+    docs = spark.createDataFrame(list((texts | clean).items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    words = lambda t: [x for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if (x := w.strip(decontamination.PUNCTUATION))]
+    runs = [(max(5, min(8, len(words(x)) // 2)), words(x)) for x in items]
+    brute = {(d, i) for d, t in (texts | clean).items() for i, (n, x) in enumerate(runs) if {tuple(words(t)[k : k + n]) for k in range(len(words(t)) - n + 1)} & {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}}
+    assert {(r.doc_id, r.item_id) for r in decontamination.quoted(docs, bench).collect()} == brute
+    assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == set(clean)
