@@ -2,7 +2,8 @@
 
 The page is cut by one regular expression that cannot go back on itself, so time grows with the page. Elements that may be left open
 (p, li, cells and so on) end where a browser would end them; an end tag closes its element and what is open inside it, and is
-ignored where nothing of that name is open. Formatting elements (b, span, a and so on) make no block of their own.
+ignored where nothing of that name is open. Formatting elements (b, span, a and so on) make no block of their own, nor do formulas
+and objects, whose text stays. Drawings and media without an end tag end where a block element starts.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from html import unescape
 #: Elements of the HTML standard by how they take part in blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-UNSEEN = frozenset("script style template svg math iframe object noembed noframes canvas audio video head title".split())
+INLINE |= frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics object".split())
+UNSEEN = frozenset("script style template svg annotation annotation-xml iframe noembed noframes canvas audio video head title".split())
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()
 )
@@ -29,6 +31,10 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Elements of UNSEEN that a page may leave open with text behind them.
+OPEN_ENDED = frozenset("svg canvas audio video annotation annotation-xml".split())
+_BLOCK_START = re.compile(rf"<(?:{'|'.join(sorted(ENDS_P | frozenset(ENDS_ITS_LIKE)))})(?=[\s/>])", re.I)
+_SVG_PARTS = re.compile(rf"<(?:(?P<end>/?)(?P<name>svg|foreignobject)(?=[\s/>])[^>]*+|(?P<block>{_BLOCK_START.pattern[1:]}))", re.I)
 _raw_ends: dict[str, re.Pattern] = {}
 
 
@@ -62,6 +68,41 @@ def _after(html: str, tag: str, at: int) -> int:
     return m.end() if m else len(html)
 
 
+def _after_open_ended(html: str, tag: str, at: int, plain: set[str]) -> int:
+    """Where an element of OPEN_ENDED ends: behind its end tag or, if it has none, before the next block element, or else at the end of the page.
+
+    Blocks inside a foreignObject belong to their drawing. ``plain`` remembers that a drawing reached the end of the page, so that none behind it reads as far again.
+    """
+    if tag == "svg":
+        depth, foreign, block = 1, 0, None
+        for m in _SVG_PARTS.finditer(html, at):
+            if m["block"]:
+                block = m.start() if block is None else block
+                if not foreign or tag in plain:
+                    return block
+            elif m["name"].lower() == "foreignobject":
+                foreign = max(0, foreign - 1) if m["end"] else foreign + (m[0][-1] != "/")
+            elif m["end"]:
+                depth -= 1
+                if not depth:
+                    return min(len(html), m.end() + 1)
+            elif m[0][-1] != "/":
+                depth += 1
+        plain.add(tag)
+    else:
+        name = f"<{tag}"
+        if name not in _raw_ends:
+            _raw_ends[name] = re.compile(rf"<(?P<end>/?){tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I)
+        m = _raw_ends[name].search(html, at) if tag not in plain else None
+        if m and m["end"]:
+            return m.end()
+        if not m:
+            plain.add(tag)
+        b = _BLOCK_START.search(html, at)
+        block = b.start() if b else None
+    return len(html) if block is None else block
+
+
 def blocks(html: str | None) -> list[Block]:
     """Blocks with any text, in page order; none for a null or empty page. What stands in head or is never shown is left out."""
     found: list[Block] = []
@@ -70,6 +111,7 @@ def blocks(html: str | None) -> list[Block]:
     stack: list[tuple[str, ...]] = []
     text: list[str] = []
     linked, in_link, at, n = 0, False, 0, len(html)
+    plain: set[str] = set()
 
     def close() -> None:
         nonlocal linked
@@ -119,7 +161,7 @@ def blocks(html: str | None) -> list[Block]:
             continue
         elif tag in UNSEEN:
             if not m["attrs"].rstrip().endswith("/"):
-                at = _after(html, tag, at)
+                at = _after_open_ended(html, tag, at, plain) if tag in OPEN_ENDED else _after(html, tag, at)
         elif tag == "a":
             in_link = True
         elif tag == "br":

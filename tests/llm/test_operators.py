@@ -349,3 +349,18 @@ def test_parts_and_changed_capitals_of_items_are_taken_out(spark):
     brute = {(d, i) for d, t in (texts | clean).items() for i, (n, x) in enumerate(runs) if {tuple(words(t)[k : k + n]) for k in range(len(words(t)) - n + 1)} & {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}}
     assert {(r.doc_id, r.item_id) for r in decontamination.quoted(docs, bench).collect()} == brute
     assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == set(clean)
+
+
+def test_formulas_stay_and_open_drawings_end():
+    text = lambda h: [b.text for b in blocks(h)]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds") == ["so x=2 holds"]
+    assert text("<p>see <object data=a><param name=b>the fallback</object> here") == ["see the fallback here"]
+    for tag in ("svg", "canvas", "audio", "video"):
+        assert text(f"<p>a<{tag}>no</{tag}>b<p>c") == ["ab", "c"]
+        assert text(f"<p>a<{tag} x=y>no<p>b<p>c") == ["a", "b", "c"]
+        assert text(f"<p>a<{tag}>no<p>b<{tag}>no</{tag}>c") == ["a", "bc"]
+        assert text(f"<p>a<{tag}>no") == ["a"]
+        assert len(text(f"<{tag}><p>b" * 20_000)) == 20_000
+    assert text("<p>a<svg><svg>no</svg><foreignObject><p>no</p></foreignObject></svg>b<p>c") == ["ab", "c"]
+    assert text("<p>a<math>x<p>b<object>y<p>c") == ["ax", "by", "c"]
+    assert len(text("<svg><foreignObject><p>b" * 20_000)) == 20_000
