@@ -3,7 +3,7 @@
 The bytes of a text are read in segments of SEGMENT bytes, forwards and backwards; at every byte the two states give a
 distribution over the languages, and the mean of these over all bytes of the text that are no ASCII spaces, digits or signs is the
 document's. The network is trained here, in numpy, by backpropagation through time with Adam, on segments of at most SAMPLE documents whose
-fold (crc32 of doc_id, modulo 5) is not HELD_OUT and whose language is known. Which documents these are, and where their
+fold (crc32 of doc_id, modulo 5) is not HELD_OUT and whose language is known; in a larger table each language has its own share of them, FEW at least. Which documents these are, and where their
 segments start, follows from hashes, so training is repeatable.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. With no labelled document at all everything is ``und``; with one language
@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm import labelled
@@ -28,6 +29,8 @@ from graphloom.session import materialise, release
 FOLDS, HELD_OUT = 5, 0
 #: The most documents that the network learns from, and segments of each.
 SAMPLE, CUTS = 4_000, 4
+#: Documents of a rare language in the sample, if it has them.
+FEW = 100
 HIDDEN, SEGMENT, LANES = 12, 64, 2048
 STEPS, BATCH, STEP_SIZE = 160, 128, 0.03
 #: Bytes that say nothing about the language: they are read, but not pooled.
@@ -193,16 +196,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.binary()))], names=["doc_id", "lang", "segments"])
 
 
+def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """How many documents of each language to learn from, ``sample`` at most in all: FEW of each or all it has, and the rest in proportion."""
+    few = max(1, min(FEW, sample // (2 * max(1, len(counts)))))
+    rest, n = max(0, sample - few * len(counts)), sum(counts.values())
+    return {x: min(c, few + rest * c // n) for x, c in counts.items()}
+
+
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Network:
     """The network from at most ``sample`` documents (doc_id, text, lang) outside the held-out fold."""
     fold = labelled.bucket(F.col("doc_id"), FOLDS)
     rows = docs.filter((fold != HELD_OUT) & (fold >= 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text", "lang")
-    chosen, n = rows, rows.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    if n > sample:
-        chosen = chosen.filter(share < int((1 << 30) * 1.1 * sample / n))
+    place = F.xxhash64("doc_id", F.lit(5))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
+    most, chosen = dict.fromkeys(counts, sample), rows
+    if sum(counts.values()) > sample:
+        most = quotas(counts, sample)
+        # More than the quota is drawn, so that chance leaves enough; what is too much goes below.
+        draws = [(x, int((1 << 30) * min(1.0, (1.1 * q + 5 * q**0.5 + 10) / counts[x]))) for x, q in most.items()]
+        drawn = rows.join(F.broadcast(docs.sparkSession.createDataFrame(draws, "lang string, _draw long")), "lang")
+        chosen = drawn.filter(F.pmod(place, F.lit(1 << 30)) < F.col("_draw")).select("doc_id", "text", "lang")
     cut = materialise(chosen.mapInArrow(_cut, "doc_id long, lang string, segments array<binary>"), "segments")
-    got = cut.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample).collect()
+    limit = F.create_map(*[F.lit(v) for pair in most.items() for v in pair])[F.col("lang")] if most else F.lit(0)
+    got = cut.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id"))).filter(F.col("_n") <= limit).collect()
     release(cut)
     pairs = sorted((r["doc_id"], bytes(s), r["lang"]) for r in got for s in r["segments"])
     return train([s for _, s, _ in pairs], [x for _, _, x in pairs])

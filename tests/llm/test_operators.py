@@ -364,3 +364,13 @@ def test_formulas_stay_and_open_drawings_end():
     assert text("<p>a<svg><svg>no</svg><foreignObject><p>no</p></foreignObject></svg>b<p>c") == ["ab", "c"]
     assert text("<p>a<math>x<p>b<object>y<p>c") == ["ax", "by", "c"]
     assert len(text("<svg><foreignObject><p>b" * 20_000)) == 20_000
+
+
+def test_rare_languages_are_learned_from_large_tables(spark):
+    rows = [(i, f"common words of text {i}", "en") for i in range(2000)] + [(5000 + i, f"rara verba {i} lingua", f"x{i // 3}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fold = language_id.labelled.bucket(F.col("doc_id"), language_id.FOLDS)
+    known = {r.lang for r in docs.filter(fold != language_id.HELD_OUT).select("lang").distinct().collect()}
+    assert len(known) > 6 and set(language_id.learned(docs, 100).languages) == known
+    got = language_id.quotas({"a": 10**9, "b": 5 * 10**5, "c": 3}, 4000)
+    assert got["b"] >= 100 and got["c"] == 3 and 3800 < sum(got.values()) <= 4000
