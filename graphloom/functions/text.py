@@ -16,14 +16,16 @@ INITIALS = r"[A-Z]\.?,(?U)\s*[A-Z]"
 SENTENCE = "[.?!。]"
 TOKEN = r"(?s)[A-Za-z0-9]+(?:\.\d+)?%?|."
 FILENAME_WORDS = ["中文", "文档", "报告", "论文", "章节", "附录", "chinese", "zhongwen", "zh"]
-BLANK = r"[\s\x1c-\x1f]"
+BLANK, SOLID = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+#: All white space: what BLANK matches with Unicode classes.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SAMPLE_CHARS, CHINESE_SHARE = 500, 0.2
 SHORT = 10
 
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def is_valid_string(x: Column) -> Column:
@@ -33,7 +35,12 @@ def is_valid_string(x: Column) -> Column:
 
 def word_count(x: Column) -> Column:
     """Words between white space of any kind."""
-    return F.regexp_count(x, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+    return F.regexp_count(x, F.lit(f"(?U){SOLID}+"))
+
+
+def has_three_words(x: Column) -> Column:
+    """Whether there are three words or more; looks no further than the third."""
+    return x.rlike(f"(?U){SOLID}++{BLANK}++{SOLID}++{BLANK}++{SOLID}")
 
 
 def token_count(x: Column) -> Column:
@@ -43,7 +50,9 @@ def token_count(x: Column) -> Column:
 
 def is_reference(x: Column) -> Column:
     """Looks like an entry of a bibliography, or holds an e-mail address."""
-    return x.rlike(CITATION) | x.rlike(EMAIL) | (x.rlike(BIBLIOGRAPHY) & x.rlike(INITIALS))
+    # A pattern is only tried where a sign that it needs is in the text, and the rare one of two goes first.
+    has = lambda sign: F.contains(x, F.lit(sign))
+    return (has("[") & x.rlike(CITATION)) | (has("@") & x.rlike(EMAIL)) | (has(",") & x.rlike(INITIALS) & x.rlike(BIBLIOGRAPHY))
 
 
 def reject_reason(x: Column) -> Column:
@@ -51,7 +60,7 @@ def reject_reason(x: Column) -> Column:
     return (
         F.when(x.isNull() | (x == ""), "empty")
         .when(~x.rlike(LETTER), "no_letter")
-        .when((word_count(x) <= 2) & (token_count(x) <= 2), "few_words")
+        .when(~has_three_words(x) & (token_count(x) <= 2), "few_words")
         .when(is_reference(x), "reference")
         .when(~x.rlike(SENTENCE), "no_sentence")
     )
