@@ -28,14 +28,19 @@ def triples_match(p: Column, t: Column) -> Column:
 
 
 def greedy(predictions: Column, truth: Column, match) -> Column:
-    """For each prediction, in order, the index from 1 of the first truth that matches and is not taken yet; 0 if none."""
-    free = lambda acc: F.filter(F.sequence(F.lit(1), F.size(truth)), lambda i: ~F.array_contains(acc, i))
+    """For each prediction, in order, the index from 1 of the first truth that matches and is not taken yet; 0 if none.
+
+    The state has a flag for each truth, so a prediction costs one pass over them.
+    """
+    start = F.struct(F.transform(truth, lambda t: F.lit(False)).alias("taken"), F.array().cast("array<int>").alias("hits"))
 
     def step(acc: Column, p: Column) -> Column:
-        hit = F.when(F.size(truth) > 0, F.coalesce(F.get(F.filter(free(acc), lambda i: match(p, F.element_at(truth, i))), F.lit(0)), F.lit(0))).otherwise(F.lit(0))
-        return F.concat(acc, F.array(hit))
+        open_ = F.zip_with(truth, acc["taken"], lambda t, k: ~k & F.coalesce(match(p, t), F.lit(False)))
+        first = F.coalesce(F.array_position(open_, True), F.lit(0)).cast("int")
+        # A lambda's variable, so that the search is made once.
+        return F.transform(F.array(first), lambda hit: F.struct(F.transform(acc["taken"], lambda k, i: k | (i == hit - 1)).alias("taken"), F.concat(acc["hits"], F.array(hit)).alias("hits")))[0]
 
-    return F.aggregate(predictions, F.array().cast("array<int>"), step)
+    return F.aggregate(predictions, start, step, lambda acc: acc["hits"])
 
 
 def entity_lists(df: DataFrame, prefix: str) -> DataFrame:
