@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,8 @@ LOCAL_CONF = {
 
 
 _OWN_DIRS: dict[str, str] = {}
+#: Tables made by materialise and not released yet.
+_KEPT: list[str] = []
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -32,34 +36,72 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (a session on one machine) a temporary folder is made and used from then on.
+    Where the setting is missing a session on one machine gets a temporary folder, which is used from then on; on a cluster that is an error, as executors would
+    each write to a folder of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _OWN_DIRS.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="graphloom-")
         _OWN_DIRS[app] = found
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
+#: Bytes of a batch between the JVM and Python while a table is kept; both sides and the buffers between hold some at a time.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of ``most`` bytes at most for the queries that run inside; the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
+def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._graphloom_path = path
+    _KEPT.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _KEPT:
+        _KEPT.remove(path)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that no later plan reads."""
     path = getattr(df, "_graphloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> int:
+    """Delete every kept table of this process, once no result that reads one is needed any more; gives their number.
+
+    Results are lazy, so the tables that they read must outlive the call that made them.
+    """
+    paths = list(_KEPT)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
