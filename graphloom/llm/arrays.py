@@ -6,6 +6,7 @@ two words get one name with a chance of about 2**-64. All arithmetic wraps at 64
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Powers of a base that are kept between calls, at most.
+KEPT_POWERS = 1 << 20
 
 U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -34,17 +37,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), modulo 2**64; kept between calls up to a few MB."""
+    """base**0 .. base**(n-1), modulo 2**64; up to KEPT_POWERS of them are kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), U(base))
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if len(have) <= 4 << 20:
+        if len(have) <= KEPT_POWERS:
             _powers[base] = have
     return have[:n]
 
 
+def give_back() -> None:
+    """Return memory that is no longer used to the system; called where a task ends, as its Python worker serves later stages too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def inverse(base: int) -> int:
     return pow(base, -1, 2**64)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import statistics
-from graphloom.llm.arrays import pieces
+from graphloom.llm.arrays import give_back, pieces
 from graphloom.session import materialise
 
 
@@ -22,6 +22,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [part.column(0), *[pa.array(c) for c in counts.T], pa.ListArray.from_arrays(pa.array(range(0, len(features) * width + 1, width), pa.int32()), pa.array(features.ravel()))],
                 names=["doc_id", *statistics.COUNTS, "features"],
             )
+    give_back()
 
 
 def measured(docs: DataFrame) -> DataFrame:

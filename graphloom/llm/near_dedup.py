@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import U, Words, mix, pieces
+from graphloom.llm.arrays import U, Words, give_back, mix, pieces
 from graphloom.llm.graph import components
 from graphloom.session import materialise, release
 
@@ -132,6 +132,7 @@ def _signatures(width: int, percent: int):
                         [ids, pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                         names=["doc_id", "n_shingles", "f1", "f2", "bands"],
                     )
+        give_back()
 
     return run
 
@@ -149,6 +150,7 @@ def _sets(width: int, percent: int):
                     marks = [(x & 0xFF).astype(np.uint8).tobytes() for x in long]
                     bands = [band_keys(x, *shape).astype(np.uint32).tobytes() for x in long]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "names", "marks", "places"])
+        give_back()
 
     return run
 
@@ -169,6 +171,7 @@ def _verify(percent: int):
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        give_back()
 
     return run
 
