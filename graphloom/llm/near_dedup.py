@@ -22,10 +22,10 @@ doc_id is null is alone: no component, and it is kept. Empty tables give empty r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,9 @@ from graphloom.session import materialise, release
 RING = 1 << 20
 #: Coordinates of every text, and of those that share a bucket (the first ones are the same).
 COORDINATES, LONG = 192, 1024
-#: Long signatures of linked pairs agree in this much less than the threshold, or more: over 5 standard deviations.
+#: Chance that a pair at the threshold shares no bucket.
+MISSED = 3e-7
+#: Long signatures of linked pairs agree in this much less than the threshold, or more; see slack_of.
 SLACK = 0.067
 #: Outsiders and members of a bucket that one task compares at a time.
 OUTSIDERS, MEMBERS = 64, 1024
@@ -45,10 +47,23 @@ OUTSIDERS, MEMBERS = 64, 1024
 SALTS = 32
 
 
-
 def bands_of(percent: int) -> tuple[int, int]:
-    """(bands, rows of each): a pair at the threshold shares no bucket with a chance of 3e-7 at 85 and at 80 percent."""
-    return (32, 6) if percent >= 85 else (38, 5)
+    """(bands, rows of each): the most rows with which bands of COORDINATES miss a pair at the threshold with a chance of MISSED or less."""
+    best = None
+    for rows in range(1, 17):
+        share = (percent / 100) ** rows
+        bands = 1 if share >= 1 else math.ceil(round(math.log(MISSED) / math.log1p(-share), 3))
+        if bands * rows <= COORDINATES:
+            best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{COORDINATES} coordinates do not find pairs at {percent} percent")
+    return best
+
+
+def slack_of(percent: int) -> float:
+    """How far below the threshold the share of equal coordinates of a linked pair may fall: over 5 standard deviations."""
+    s = percent / 100
+    return max(SLACK, 5.3 * math.sqrt(max(0.0, s * (1 - s)) / LONG))
 
 
 _A, _B, _C = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
@@ -183,30 +198,71 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
-def _blocks(pdf: pd.DataFrame, agree: float, nearest: bool) -> pd.DataFrame:
-    """Of one block of outsiders and one of members: the pairs of different components whose signatures agree enough; or the best one of each outsider.
+def _fixed(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    """A binary column whose values all have ``width`` bytes, as a matrix."""
+    n = len(column)
+    if not n:
+        return np.zeros((0, width // np.dtype(kind).itemsize), dtype=kind)
+    start = np.frombuffer(column.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], dtype=kind, count=n * width // np.dtype(kind).itemsize, offset=int(start)).reshape(n, -1)
+
+
+def _flat(rows: pa.Table) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([rows.column(i).chunk(0) for i in range(rows.num_columns)], names=rows.column_names)
+
+
+def _best(part: pa.RecordBatch, bands_n: int, agree: float, nearest: bool) -> list[tuple[np.ndarray, ...]]:
+    """(o, a, b, same) for each outsider o of one block of outsiders and one of members: the pairs of different components whose signatures agree enough, or the best one.
 
     A pair that shares an earlier bucket too is left to that one, so each goes on once.
     """
-    out, mem = pdf[pdf["outside"]], pdf[~pdf["outside"]]
-    rows: list[pd.DataFrame] = []
-    if len(out) and len(mem):
-        m = np.frombuffer(b"".join(mem["marks"]), dtype=np.uint8).reshape(len(mem), LONG)
-        places = np.frombuffer(b"".join(mem["places"]), dtype=np.uint32).reshape(len(mem), -1)
-        here = np.array([pdf["bucket"].iloc[0]], dtype=np.int64).astype(np.uint32)[0]
-        ids, labels = mem["id"].to_numpy(), mem["component"].to_numpy()
-        for i, c, s, p in zip(out["id"], out["component"], out["marks"], out["places"], strict=True):
-            same = np.where(labels != c, (m == np.frombuffer(s, dtype=np.uint8)).sum(axis=1), -1)
-            hit = np.flatnonzero(same >= agree * LONG)
-            if not len(hit):
-                continue
-            if nearest:
-                hit = hit[[np.lexsort((ids[hit], -same[hit]))[0]]]
-            else:
-                own = np.frombuffer(p, dtype=np.uint32)
-                hit = hit[own[(places[hit] == own).argmax(axis=1)] == here]
-            rows.append(pd.DataFrame({"o": i, "a": np.minimum(ids[hit], i), "b": np.maximum(ids[hit], i), "same": same[hit]}))
-    return pd.concat(rows) if rows else pd.DataFrame({k: pd.Series(dtype="int64") for k in ("o", "a", "b", "same")})
+    outside = part.column("outside").to_numpy(zero_copy_only=False)
+    if outside.all() or not outside.any():
+        return []
+    ids, labels = part.column("id").to_numpy(), part.column("component").to_numpy()
+    marks, places = _fixed(part.column("marks"), LONG, np.uint8), _fixed(part.column("places"), 4 * bands_n, np.uint32)
+    here = part.column("bucket")[0].as_py() & 0xFFFFFFFF
+    mem, found = np.flatnonzero(~outside), []
+    m, m_ids, m_labels, m_places = marks[mem], ids[mem], labels[mem], places[mem]
+    for k in np.flatnonzero(outside).tolist():
+        same = np.where(m_labels != labels[k], (m == marks[k]).sum(axis=1), -1)
+        hit = np.flatnonzero(same >= agree * LONG)
+        if len(hit) and nearest:
+            hit = hit[[np.lexsort((m_ids[hit], -same[hit]))[0]]]
+        elif len(hit):
+            hit = hit[places[k][(m_places[hit] == places[k]).argmax(axis=1)] == here]
+        if len(hit):
+            found.append((np.full(len(hit), ids[k]), np.minimum(m_ids[hit], ids[k]), np.maximum(m_ids[hit], ids[k]), same[hit]))
+    return found
+
+
+def _compared(bands_n: int, agree: float, nearest: bool):
+    """:func:`_best` of each run of rows with equal (bucket, i, j); rows come sorted by these, and of a run only as much is held as it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kept = ["o", "a", "b", "same"], None
+
+        def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], names=names)
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            rows = rows.combine_chunks()
+            keys = [rows.column(c).chunk(0).to_numpy() for c in ("bucket", "i", "j")] if rows.num_rows else []
+            edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if rows.num_rows > 1 else np.zeros(0, dtype=np.int64)
+            found, at = [], 0
+            for to in edge.tolist():
+                if to - at > 1:
+                    found += _best(_flat(rows.slice(at, to - at)), bands_n, agree, nearest)
+                at = to
+            kept = rows.slice(at)
+            if found:
+                yield out(found)
+        if kept is not None and kept.num_rows > 1 and (found := _best(_flat(kept), bands_n, agree, nearest)):
+            yield out(found)
+        give_back()
+
+    return run
 
 
 def _remaining(buckets: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -224,7 +280,9 @@ def _remaining(buckets: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     outs = mixed.filter(outside).select(*base, part(n_out, 1).alias("i"), F.explode(F.sequence(F.lit(0), n_mem - 1)).alias("j"), F.lit(True).alias("outside"))
     mems = mixed.select(*base, F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), part(n_mem, 2).alias("j"), F.lit(False).alias("outside"))
     met = outs.unionByName(mems).select("bucket", "i", "j", "id", "component", "marks", "places", "outside")
-    pairs = met.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _blocks(pdf, percent / 100 - SLACK, nearest), "o long, a long, b long, same long")
+    # Blocks are small and many: they are read from a sorted partition in batches, not handed over one by one.
+    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    pairs = met.mapInArrow(_compared(bands_of(percent)[0], percent / 100 - slack_of(percent), nearest), "o long, a long, b long, same long")
     if nearest:  # the best of those found in each block and bucket
         pairs = pairs.groupBy("o").agg(F.max_by(F.struct("a", "b"), F.struct("same", F.negative("a"), F.negative("b"))).alias("p")).select("p.a", "p.b")
     return pairs.select("a", "b").distinct()
@@ -239,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     ``width`` words make a shingle; documents are linked where 100 * intersection >= ``percent`` * union. component_id is
-    the smallest doc_id that links reach, and that document is kept. ``percent`` should be 80 or more for the bands.
+    the smallest doc_id that links reach, and that document is kept.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sigs = materialise(docs.filter(F.col("doc_id").isNotNull()).mapInArrow(_signatures(width, percent), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sigs")
