@@ -4,19 +4,21 @@ Spans are code points, end exclusive. A pattern's matches are the leftmost ones
 ``regexp_extract_all``; their places follow from the pieces that ``split`` leaves between them.
 
 The entropy method looks at maximal runs of token characters that hold a digit and a letter. A window of
-WINDOW characters slides over each; the counts of the entering and the leaving character update the sum of
-c log2 c, and the largest Shannon entropy of any window is held against the threshold of the run's character class
+WINDOW characters slides over each; the counts of its characters are kept, those of the entering and the leaving one change, and with them the sum of
+c log2 c; and the largest Shannon entropy of any window is held against the threshold of the run's character class
 (hexadecimal, alphanumeric, or base64). Runs that the allow-list knows (UUIDs, dates, words such as EXAMPLE) and runs
 that touch a pattern's span are passed over. Masking is stricter: there a run counts unless the patterns' spans cover all of it,
 and a run that the allow-list knows counts if it is still suspicious without its known pieces (KNOWN).
 
 Defined results: null text counts as empty and has no span. Ties in start are ordered by kind (assign, access, hex,
-entropy). Repeated rows are scanned alike; an empty table gives an empty result; other columns are kept as they are
-unless they bear the name of a result column, which then is replaced.
+entropy). Repeated rows are scanned alike; an empty table gives an empty result. A scan replaces columns that bear the name of a result; masking keeps
+every column of any name. Texts with many matches take time in proportion.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,55 +47,96 @@ KNOWN = (
     "|[0-9A-Za-z]*([Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|0123456789|ABCDEFGHIJ|abcdefghij)[0-9A-Za-z]*"
 )
 _SPAN = "struct<start:int,rank:int,end:int>"
+#: Items that a fold works on before what it has put out is set aside: appending copies, so it is done to short arrays only.
+CHUNK = 256
 
 
-def _placed(text: Column, found: Column, pattern: str) -> Column:
-    """Array of struct(start, end, match) for the matches ``found`` of the pattern."""
-    between = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+def running(items: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """struct(acc, out): a fold over an array that puts out ``emit(acc, item)``, of type ``kind``, before each ``step``; ``start`` must be a struct.
+
+    The array is folded in chunks whose outputs are joined at the end, so time grows with its length and not with the square of it.
+    """
+    none = F.array().cast(f"array<{kind}>")
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, acc["i"]))
-        end = start + F.length(m)
-        one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), m.alias("match"))
-        return F.struct((acc["i"] + 1).alias("i"), end.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def inner(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["acc"], x).alias("acc"), F.concat(acc["out"], F.array(emit(acc["acc"], x))).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(found, state, step, lambda acc: acc["out"])).otherwise(none)
+    def outer(acc: Column, chunk: Column) -> Column:
+        found = F.aggregate(chunk, F.struct(acc["acc"].alias("acc"), none.alias("out")), inner)
+        # Evaluated once: a lambda's variable stands for it.
+        return F.transform(F.array(found), lambda x: F.struct(x["acc"].alias("acc"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
+
+    def folded(whole: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / CHUNK).cast("int")), lambda c: F.slice(whole, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.aggregate(chunks, F.struct(start.alias("acc"), F.array().cast(f"array<array<{kind}>>").alias("out")), outer, lambda acc: F.struct(acc["acc"].alias("acc"), F.flatten(acc["out"]).alias("out")))
+
+    return F.when(F.size(items) > 0, F.transform(F.array(items), folded)[0]).otherwise(F.struct(start.alias("acc"), none.alias("out")))
+
+
+def _placed(text: Column, found: Column, pattern: str) -> Column:
+    """Array of struct(start, end, match) for the matches ``found`` of the pattern."""
+    kind = "struct<start:int,end:int,match:string>"
+    parts = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
+    lengths = F.transform(parts, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("n"), x["m"].alias("match")))
+    place = running(
+        lengths,
+        F.struct(F.lit(0).alias("at")),
+        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at")),
+        lambda acc, x: F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["match"].alias("match")),
+        kind,
+    )
+    return F.when(F.size(found) > 0, place["out"]).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _spans(placed: Column, rank: int) -> Column:
     return F.transform(placed, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
 
 
+#: Counts of a window are kept five bits each, twelve to a number; characters of a run are numbered from FIRST on.
+_BITS, _EACH, _FIRST = 5, 12, 43
+_NUMBERS = (122 - _FIRST) // _EACH + 1
+
+
 def window_entropy(run: Column, width: int = WINDOW) -> Column:
-    """Largest Shannon entropy in bits of any ``width`` characters in a row; 0 for shorter runs.
+    """Largest Shannon entropy in bits of any ``width`` (31 at most) characters in a row; 0 for shorter runs. Characters must be of CANDIDATE.
 
-    The state holds the window, the sum of c log2 c over its characters, and the best so far; each step adds one
-    character and lets one go, so a step costs one window and not the whole run.
+    The state holds how often each character stands in the window, the sum of c log2 c over these counts, and the best so far. A step
+    raises the count of the entering character and lowers that of the leaving one, and adds what this does to the sum.
     """
 
     def clog(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def count(window: Column, ch: Column) -> Column:
-        return F.length(window) - F.length(F.replace(window, ch, F.lit("")))
+    def place(ch: Column) -> Column:
+        k = F.ascii(ch) - _FIRST
+        return F.struct(F.floor(k / _EACH).cast("int").alias("word"), (_BITS * F.pmod(k, F.lit(_EACH))).cast("int").alias("shift"))
+
+    def count(counts: Column, p: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, p["word"]), p["shift"]).bitwiseAND(F.lit((1 << _BITS) - 1).cast("long"))
 
-    def step(acc: Column, ch: Column) -> Column:
-        full = F.length(acc["w"]) == width
-        gone = F.substring(acc["w"], 1, 1)
-        had = count(acc["w"], gone)
-        kept = F.when(full, F.substring(acc["w"], 2, width)).otherwise(acc["w"])
+    def changed(counts: Column, p: Column, by: int) -> Column:
+        return F.transform(counts, lambda x, i: F.when(i == p["word"], x + F.lit(by) * F.call_function("shiftleft", F.lit(1).cast("long"), p["shift"])).otherwise(x))
+
+    def step(acc: Column, x: Column) -> Column:
+        full = x["i"] >= width
+        had = count(acc["counts"], x["gone"])
         left = acc["s"] - F.when(full, clog(had) - clog(had - 1)).otherwise(F.lit(0.0))
-        now = count(kept, ch)
+        kept = F.when(full, changed(acc["counts"], x["gone"], -1)).otherwise(acc["counts"])
+        return F.transform(F.array(kept), lambda k: enter(k, left, acc["b"], x))[0]
+
+    def enter(counts: Column, left: Column, best: Column, x: Column) -> Column:
+        now = count(counts, x["come"])
         total = left + clog(now + 1) - clog(now)
-        window = F.concat(kept, ch)
         bits = F.log2(F.lit(float(width))) - total / width
-        best = F.when(F.length(window) == width, F.greatest(acc["b"], bits)).otherwise(acc["b"])
-        return F.struct(window.alias("w"), total.alias("s"), best.alias("b"))
+        return F.struct(changed(counts, x["come"], 1).alias("counts"), total.alias("s"), F.when(x["i"] >= width - 1, F.greatest(best, bits)).otherwise(best).alias("b"))
+
+    def best(places: Column) -> Column:
+        steps = F.transform(places, lambda p, i: F.struct(i.alias("i"), p.alias("come"), F.get(places, F.greatest(F.lit(0), i - width)).alias("gone")))
+        zeros = F.array(*[F.lit(0).cast("long")] * _NUMBERS)
+        start = F.struct(zeros.alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("b"))
+        return F.aggregate(steps, start, step, lambda acc: acc["b"])
 
-    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("s"), F.lit(0.0).alias("b"))
-    return F.aggregate(F.split(run, ""), start, step, lambda acc: acc["b"])
+    return F.transform(F.array(F.transform(F.split(run, ""), place)), best)[0]
 
 
 def _suspicious(run: Column) -> Column:
@@ -113,50 +156,73 @@ def _suspicious_without_known(run: Column) -> Column:
     return F.when(_suspicious(run), True).when(F.rlike(run, F.lit(ALLOW)), F.when(F.length(rest) >= WINDOW, _suspicious(rest)).otherwise(False)).otherwise(False)
 
 
-def _covered(run: Column, spans: Column) -> Column:
-    """Whether ``spans``, in order of start, cover the whole run."""
-    reached = F.aggregate(spans, run["start"], lambda at, x: F.when(x["start"] <= at, F.greatest(at, x["end"])).otherwise(at))
-    return reached >= run["end"]
+def _joined(spans: Column) -> Column:
+    """Spans in order of start, with those that overlap or touch made one."""
+    two = lambda a, b: F.struct(a.cast("int").alias("start"), F.lit(0).alias("rank"), b.cast("int").alias("end"))
+    found = running(
+        spans,
+        two(F.lit(-2), F.lit(-2)),
+        lambda acc, x: F.when(x["start"] <= acc["end"], two(acc["start"], F.greatest(acc["end"], x["end"]))).otherwise(two(x["start"], x["end"])),
+        lambda acc, x: F.when(x["start"] > acc["end"], acc),
+        _SPAN,
+    )
+    return F.transform(F.array(found), lambda f: F.filter(F.concat(f["out"], F.array(f["acc"])), lambda x: x["start"] >= 0))[0]
 
 
-def scan(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
-    """Adds base_spans and spans (arrays of struct(start, rank, end), in order), n_assign, n_access, n_hex and n_entropy.
+def _free(runs: Column, base: Column, whole: bool) -> Column:
+    """The runs that no base span touches; with ``whole`` those that base spans do not cover all of. Both are in order of start.
 
-    With ``whole``, runs that base spans cover in part only, and runs with a known piece in them, count as well.
+    Base spans are made disjoint and put in one order with the runs, so a run has to do with the one before and the one behind it alone.
     """
+    kind = "struct<start:int,rank:int,end:int,before:int>"
+    order = F.array_sort(F.concat(_joined(base), runs))
+    ahead = running(
+        order,
+        F.struct(F.lit(-1).alias("end")),
+        lambda acc, x: F.when(x["rank"] == 0, F.struct(x["end"].alias("end"))).otherwise(acc),
+        lambda acc, x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), acc["end"].alias("before")),
+        kind,
+    )["out"]
+    if whole:
+        return F.transform(F.filter(ahead, lambda x: (x["rank"] > 0) & (x["before"] < x["end"])), lambda x: x.dropFields("before"))
+    behind = running(
+        F.reverse(ahead),
+        F.struct(F.lit((1 << 31) - 1).alias("start")),
+        lambda acc, x: F.when(x["rank"] == 0, F.struct(x["start"].alias("start"))).otherwise(acc),
+        lambda acc, x: F.when((x["rank"] > 0) & (x["before"] <= x["start"]) & (acc["start"] >= x["end"]), x.dropFields("before")),
+        _SPAN,
+    )["out"]
+    return F.reverse(F.filter(behind, lambda x: x.isNotNull()))
+
+
+def _scanned(texts: DataFrame, whole: bool) -> DataFrame:
+    """``texts`` (_row, _t: no null) with _base_spans, _spans and the counts _n_assign, _n_access, _n_hex."""
     suspicious = _suspicious_without_known if whole else _suspicious
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = df.withColumn(
-        "_found",
-        F.struct(
-            F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0)).alias("assign"),
-            F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0)).alias("access"),
-            F.regexp_extract_all(t, F.lit(HEX), F.lit(0)).alias("hex"),
-            F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("run"),
-        ),
-    )
-    f = F.col("_found")
-    assign = F.filter(_placed(t, f["assign"], ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 6)
+    t, none = F.col("_t"), F.array().cast(f"array<{_SPAN}>")
+    found = texts.select("_row", "_t", *[F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias(c) for c, p in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_run", CANDIDATE))])
+    assign = F.filter(_placed(t, F.col("_assign"), ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 6)
     # Only texts with a run that looks like a secret are split for its place.
-    runs = F.when(F.exists(f["run"], suspicious), F.filter(_placed(t, f["run"], CANDIDATE), lambda x: suspicious(x["match"]))).otherwise(
-        F.array().cast("array<struct<start:int,end:int,match:string>>")
-    )
-    placed = found.withColumn("_base", F.struct(_spans(assign, 0).alias("a"), _spans(_placed(t, f["access"], ACCESS), 1).alias("k"), _spans(_placed(t, f["hex"], HEX), 2).alias("h"))).withColumn(
-        "_runs", _spans(runs, 3)
-    )
-    b = F.col("_base")
-    out = placed.withColumn("base_spans", F.array_sort(F.concat(b["a"], b["k"], b["h"])))
-    touched = lambda r: F.exists(F.col("base_spans"), lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"]))
-    free = F.filter(F.col("_runs"), lambda r: ~(_covered(r, F.col("base_spans")) if whole else touched(r)))
-    out = out.withColumn("_free", free)
-    return (
-        out.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), F.col("_free"))))
-        .withColumn("n_assign", F.size(b["a"]).cast("long"))
-        .withColumn("n_access", F.size(b["k"]).cast("long"))
-        .withColumn("n_hex", F.size(b["h"]).cast("long"))
-        .withColumn("n_entropy", F.size("_free").cast("long"))
-        .drop("_found", "_base", "_runs", "_free")
-    )
+    runs = F.when(F.exists("_run", suspicious), _spans(F.filter(_placed(t, F.col("_run"), CANDIDATE), lambda x: suspicious(x["match"])), 3)).otherwise(none)
+    placed = found.select("_row", "_t", _spans(assign, 0).alias("_a"), _spans(_placed(t, F.col("_access"), ACCESS), 1).alias("_k"), _spans(_placed(t, F.col("_hex"), HEX), 2).alias("_h"), runs.alias("_runs"))
+    counts = [F.size(c).cast("long").alias(n) for c, n in (("_a", "_n_assign"), ("_k", "_n_access"), ("_h", "_n_hex"))]
+    base = placed.select("_row", "_t", "_runs", *counts, F.array_sort(F.concat("_a", "_k", "_h")).alias("_base_spans"))
+    free = F.when(F.size("_runs") == 0, none).when(F.size("_base_spans") == 0, F.col("_runs")).otherwise(_free(F.col("_runs"), F.col("_base_spans"), whole))
+    return base.select("_row", "_t", "_base_spans", "_n_assign", "_n_access", "_n_hex", free.alias("_free")).withColumn("_spans", F.array_sort(F.concat("_base_spans", "_free")))
+
+
+def _texts(df: DataFrame, text: str) -> DataFrame:
+    """The whole row as one column and the text as another, so no column of the input clashes with those made here."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))
+
+
+def scan(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
+    """Adds base_spans and spans (arrays of struct(start, rank, end), in order), n_assign, n_access, n_hex and n_entropy; columns of these names are replaced.
+
+    With ``whole``, runs that base spans cover in part only, and runs with a known piece in them, count as well.
+    """
+    made = {"base_spans": "_base_spans", "spans": "_spans", "n_assign": "_n_assign", "n_access": "_n_access", "n_hex": "_n_hex"}
+    out = [F.col(c).alias(n) for n, c in made.items()] + [F.size("_free").cast("long").alias("n_entropy")]
+    return _scanned(_texts(df, text), whole).select(*[F.col("_row")[c].alias(c) for c in df.columns if c.lower() not in {*made, "n_entropy"}], *out)
 
 
 def written(spans: Column) -> Column:
@@ -171,18 +237,33 @@ def digest(df: DataFrame) -> DataFrame:
     return s.select("doc_id", "n_assign", "n_access", "n_hex", "n_entropy", F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """Every span of the text replaced by ``mark`` (spans that touch or overlap by one); texts without one stay as they are."""
-    s = scan(df, text, whole=True)
-    t = F.coalesce(F.col(text), F.lit(""))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when((x["start"] < acc["at"]), acc["out"]).otherwise(more).alias("out"))
+def redact(df: DataFrame, text: str = "text", mark: str = "[REDACTED]", length: str | None = None) -> DataFrame:
+    """Every span of the text replaced by ``mark`` (spans that overlap by one); texts without one stay as they are, and so do all other columns, whatever their names.
 
-    whole = F.aggregate("spans", state, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return s.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text))).drop("base_spans", "spans", "n_assign", "n_access", "n_hex", "n_entropy")
+    ``length`` names a column that holds the text's length: it is counted anew where the text has changed.
+    """
+    s, kind = _scanned(_texts(df, text), whole=True), "struct<start:int,end:int>"
+
+    def masked(raw: Column) -> Column:
+        # Four bytes a character, so that a piece is found without counting from the start.
+        piece = lambda a, b: F.decode(F.substring(raw, 4 * a + 1, 4 * (b - a)), "UTF-32")
+        gaps = running(
+            F.col("_spans"),
+            F.struct(F.lit(0).alias("at")),
+            lambda acc, x: F.struct(F.greatest(acc["at"], x["end"]).alias("at")),
+            lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(acc["at"].alias("start"), x["start"].alias("end"))),
+            kind,
+        )
+        kept = lambda g: F.transform(F.filter(g["out"], lambda x: x.isNotNull()), lambda x: piece(x["start"], x["end"]))
+        rest = lambda g: piece(g["acc"]["at"], F.octet_length(raw) / 4)
+        return F.transform(F.array(gaps), lambda g: F.array_join(F.concat(kept(g), F.array(rest(g))), mark))[0]
+
+    hit = F.size("_spans") > 0
+    s = s.select("_row", F.when(hit, F.transform(F.array(F.encode("_t", "UTF-32")), masked)[0]).alias("_masked"))
+    new = {text.lower(): F.coalesce("_masked", F.col("_row")[text])}
+    if length:
+        new[length.lower()] = F.coalesce(F.length("_masked").cast(df.schema[length].dataType), F.col("_row")[length])
+    return s.select(*[new.get(c.lower(), F.col("_row")[c]).alias(c) for c in df.columns])
 
 
 def _sql_quote(pattern: str) -> str:
