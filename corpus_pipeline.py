@@ -7,7 +7,6 @@ columns of documents. Null ids, null texts and repeated rows are treated as each
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, near_dedup, quality_classifier, secret_scans, sentencepiece_wfst
 from graphloom.llm.queries import VOCABULARY
@@ -34,10 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars counted anew where a text has changed."""
-    changed = secret_scans.redact(docs.withColumn("_before", F.col("text")))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("text") == F.col("_before"), F.col("n_chars")).otherwise(F.coalesce(F.length("text"), "n_chars")).cast("long"))
-    return changed.select(docs.columns)
+    return secret_scans.redact(docs, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
