@@ -56,4 +56,4 @@ def numbered(df: DataFrame, within: str, by: str, name: str = "dense") -> DataFr
     ranked = placed.withColumn("_at", F.get(start, part) + row)
     first = materialise(ranked.groupBy(within).agg(F.min("_at").alias("_first")), "first")
     out = ranked.join(F.broadcast(first) if first.count() <= FEW_ROWS else first, within)
-    return out.withColumn(name, (F.col("_at") - F.col("_first")).cast("int")).select(*df.columns, name)
+    return out.withColumn(name, F.col("_at") - F.col("_first")).select(*df.columns, name)

@@ -6,7 +6,8 @@ import random
 import pytest
 
 from graphloom.operators.merge import entity_blocks, merge_round, merge_with_existing, tree_merge
-from graphloom.operators.similarity import cosine_pairs
+from graphloom.operators.similarity import bands_for, cosine_pairs, likely_pairs
+from graphloom.operators.spread import numbered, spread_join
 
 ENT = "graph long, block int, ord long, name string, label string, embedding array<double>, description string"
 REL = "graph long, block int, ord long, start_name string, start_label string, end_name string, end_label string, label string, name string, embedding array<double>, description string"
@@ -52,7 +53,7 @@ def random_blocks(seed, n):
     return [([ent() for _ in range(rng.randint(1, 5))], [rel() for _ in range(rng.randint(1, 4))]) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed,n", [(1, 2), (2, 3), (3, 5)])
+@pytest.mark.parametrize("seed,n", [(1, 2), (2, 3), (3, 5), (4, 9)])
 def test_tree_merge_equals_the_list_model(spark, seed, n):
     blocks = random_blocks(seed, n)
     want = [b for b in blocks]
@@ -95,3 +96,35 @@ def test_cosine_pairs_in_small_parts(spark):
     both = {(a, b) for _, a, x in rows for _, b, y in rows if None not in (a, b) and x and y and cos(x, y) >= 0.5}
     assert {(r.a, r.b) for r in cosine_pairs(df, df, 0.5, rows=7).collect()} == both
     assert cosine_pairs(df.limit(0), df, 0.5).count() == 0
+
+
+def test_likely_pairs_are_exact_and_nearly_all(spark):
+    rng = random.Random(6)
+    base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i % 2, i, [x + rng.gauss(0, 0.35) for x in rng.choice(base)]) for i in range(600)] + [(0, None, [1.0] * 16), (0, 1000, None), (1, 1001, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "g int, id long, embedding array<double>")
+    pairs = lambda found: {(r.g, r.a, r.b) for r in found.collect()}
+    want, got = pairs(cosine_pairs(df, df, 0.8, ["g"])), pairs(likely_pairs(df, df, 0.8, ["g"], rows=50))
+    assert got <= want and len(got) > 0.99 * len(want) > 600
+    assert bands_for(0.8, 0.99) == 27 and bands_for(1.0, 0.99) == 1
+    assert likely_pairs(df.limit(0), df, 0.8).count() == 0
+
+
+def test_joins_with_hot_keys(spark):
+    rows = [(i, "hot" if i % 2 else str(i % 50) if i % 4 else None, i % 3) for i in range(4000)]
+    left = spark.createDataFrame(rows, "id long, k string, n int")
+    right = spark.createDataFrame([("hot", 1), ("2", 2), ("2", 3), (None, 4), ("none", 5)], "k string, v int")
+    for how in ("inner", "left"):
+        key = lambda df: sorted((r.id, r.k or "", r.n, r.v or 0) for r in df.select("id", "k", "n", "v").collect())
+        want = key(left.join(right, ["k"], how))
+        assert key(spread_join(left, right, ["k"], how, hot_rows=100, parts=7)) == want
+        assert key(spread_join(left, right, ["k"], how)) == want
+    assert spread_join(left.limit(0), right, ["k"]).count() == 0
+
+
+def test_numbers_without_gaps(spark):
+    rng = random.Random(7)
+    rows = [(g, b) for g in (0, 1, 5) for b in rng.sample(range(10**6), 500 if g else 3000)]
+    got = numbered(spark.createDataFrame(rng.sample(rows, len(rows)), "graph long, block long").repartition(7), "graph", "block").collect()
+    assert sorted((r.graph, r.block, r.dense) for r in got) == [(g, b, i) for g in (0, 1, 5) for i, b in enumerate(sorted(b for h, b in rows if h == g))]
+    assert numbered(spark.createDataFrame([], "graph long, block long"), "graph", "block").count() == 0
