@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +51,51 @@ def token_count(x: Column) -> Column:
     return F.regexp_count(x, F.lit(TOKEN))
 
 
+def segmented(segment: Callable[[str], Iterable[str]]) -> Callable[[Column], Column]:
+    """Counts by a segmenter in place of ``token_count`` (F3); ``segment`` is sent to the executors, and gives the tokens of a text."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else sum(1 for _ in segment(t)))
+
+    return count
+
+
+def chinese_segmenter() -> Callable[[Column], Column] | None:
+    """``segmented`` with the library for Chinese, where it is installed; else None."""
+    try:
+        import jieba
+    except ImportError:
+        return None
+    return segmented(lambda t: jieba.cut(t))
+
+
+def classified(classify: Callable[[str], str | None], chars: int = 1000) -> Callable[[Column], Column]:
+    """Languages by a classifier (P4): it sees the first ``chars`` characters, and only what it says of zh and en counts; null where it fails."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            found = classify(text[:chars]) if text else None
+        except Exception:
+            return None
+        return next((x for x in ("zh", "en") if found and str(found).startswith(x)), None)
+
+    @F.pandas_udf("string")
+    def languages(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return languages
+
+
+def installed_classifier() -> Callable[[Column], Column] | None:
+    """``classified`` with the library for language detection, where it is installed; else None."""
+    try:
+        from fasttext_langdetect import detect
+    except ImportError:
+        return None
+    return classified(lambda t: detect(t)[0].get("lang") if detect(t) else None)
+
+
 def is_reference(x: Column) -> Column:
     """Looks like an entry of a bibliography, or holds an e-mail address."""
     # A pattern is only tried where a sign that it needs is in the text, and the rare one of two goes first.
@@ -55,12 +103,15 @@ def is_reference(x: Column) -> Column:
     return (has("[") & x.rlike(CITATION)) | (has("@") & x.rlike(EMAIL)) | (has(",") & x.rlike(INITIALS) & x.rlike(BIBLIOGRAPHY))
 
 
-def reject_reason(x: Column) -> Column:
-    """The first test that a block fails: empty, no_letter, few_words, reference, no_sentence; null for a valid block (F1-F5, SNK9)."""
+def reject_reason(x: Column, tokens: Column | None = None) -> Column:
+    """The first test that a block fails: empty, no_letter, few_words, reference, no_sentence; null for a valid block (F1-F5, SNK9).
+
+    ``tokens`` is a count by a segmenter, if there is one.
+    """
     return (
         F.when(x.isNull() | (x == ""), "empty")
         .when(~x.rlike(LETTER), "no_letter")
-        .when(~has_three_words(x) & (token_count(x) <= 2), "few_words")
+        .when(~has_three_words(x) & ((token_count(x) if tokens is None else tokens) <= 2), "few_words")
         .when(is_reference(x), "reference")
         .when(~x.rlike(SENTENCE), "no_sentence")
     )

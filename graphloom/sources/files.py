@@ -11,9 +11,11 @@ from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.spread import numbered
+
 # Parts of a word-processor file.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".gif", ".tiff", ".tif")
@@ -24,12 +26,16 @@ class Distiller:
     """What a document format provides (SRC1): text, images and tables from the bytes of a file. All run inside tasks."""
 
     def text(self, content: bytes) -> str:
-        """The text; lines are the candidate blocks."""
+        """The text, unfiltered."""
         raise NotImplementedError
 
-    def images(self, content: bytes) -> list[tuple[int, int, bytes]]:
-        """(page, index, image) of each image; page is 0 where the format has no pages."""
-        return []
+    def blocks(self, content: bytes) -> list[str]:
+        """The candidate blocks: lines, unless the format has blocks of its own."""
+        return self.text(content).split("\n")
+
+    def images(self, content: bytes) -> Iterator[tuple[int, int, Callable[[], bytes]]]:
+        """(page, index, a call that reads it) of each image; page is 0 where the format has no pages. An image that cannot be read keeps its index."""
+        return iter(())
 
     def tables(self, content: bytes) -> list[list[list[str]]]:
         return []
@@ -55,10 +61,10 @@ class Docx(Distiller):
         paragraphs = ["".join(t.text or "" if t.tag == f"{WORD}t" else made.get(t.tag, "") for t in p.iter()) for p in root.iter(f"{WORD}p")]
         return "\n".join(paragraphs)
 
-    def images(self, content: bytes) -> list[tuple[int, int, bytes]]:
+    def images(self, content: bytes) -> Iterator[tuple[int, int, Callable[[], bytes]]]:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = sorted(n for n in z.namelist() if n.startswith("word/media/") and n.lower().endswith(IMAGES))
-            return [(0, i, z.read(n)) for i, n in enumerate(names)]
+            for i, n in enumerate(sorted(n for n in z.namelist() if n.startswith("word/media/") and n.lower().endswith(IMAGES))):
+                yield 0, i, lambda n=n: z.read(n)
 
     def tables(self, content: bytes) -> list[list[list[str]]]:
         root = self._root(content)
@@ -84,18 +90,23 @@ class Pdf(Distiller):
     def __init__(self, ruling: str | None = None):
         self.ruling = ruling
 
-    def text(self, content: bytes) -> str:
+    def blocks(self, content: bytes) -> list[str]:
+        """Blocks of all pages in order, with the line feeds that they have inside."""
         import fitz
 
         with fitz.open(stream=content, filetype="pdf") as doc:
-            # A block may span lines; here a line feed parts blocks, so it becomes a space inside one.
-            return "\n".join(" ".join(b[4].split("\n")) for page in doc for b in page.get_text("blocks"))
+            return [b[4] for page in doc for b in page.get_text("blocks")]
 
-    def images(self, content: bytes) -> list[tuple[int, int, bytes]]:
+    def text(self, content: bytes) -> str:
+        return "\n".join(self.blocks(content))
+
+    def images(self, content: bytes) -> Iterator[tuple[int, int, Callable[[], bytes]]]:
         import fitz
 
         with fitz.open(stream=content, filetype="pdf") as doc:
-            return [(page.number + 1, i, doc.extract_image(x[0])["image"]) for page in doc for i, x in enumerate(page.get_images(full=True))]
+            for number, page in enumerate(doc, 1):
+                for i, x in enumerate(page.get_images(full=True)):
+                    yield number, i, lambda x=x: doc.extract_image(x[0])["image"]
 
     def tables(self, content: bytes) -> list[list[list[str]]]:
         import pdfplumber
@@ -141,8 +152,13 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """(path, text, error) of each file; apply ``text_blocks`` to the texts."""
-    return _per_file(files, lambda d, _, c: [{"text": d.text(c)}], "path string, text string, error string")
+    """(path, text, blocks, error) of each file; apply ``text_blocks`` to the texts, or ``listed_blocks`` to the blocks where these may hold line feeds."""
+
+    def read(d: Distiller, _: str, c: bytes) -> list[dict]:
+        found = d.blocks(c)
+        return [{"text": "\n".join(found), "blocks": found}]
+
+    return _per_file(files, read, "path string, text string, blocks array<string>, error string")
 
 
 def tables(files: DataFrame) -> DataFrame:
@@ -151,16 +167,31 @@ def tables(files: DataFrame) -> DataFrame:
     return _per_file(files, each, "path string, table_idx int, row_idx int, cells array<string>, error string")
 
 
-def images(files: DataFrame, ocr: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """(path, page, image_idx, image, ocr_text, error) of each image. ``ocr`` gives the lines of an image; where it fails the text says so."""
+def images(files: DataFrame, ocr: Callable[[bytes], list[str]] | None = None, readable: Callable[[bytes], object] | None = None) -> DataFrame:
+    """(path, page, image_idx, image, ocr_text, error) of each image.
 
-    def read(image: bytes) -> str:
+    ``ocr`` gives the lines of an image; where it fails the text says so. An image that cannot be taken out of its file, or that ``readable`` raises for, is left out;
+    those behind it keep their index.
+    """
+
+    def text_of(image: bytes) -> str:
         try:
             return "\n".join(ocr(image)) if ocr else ""
         except Exception:
             return OCR_FAILED
 
-    each = lambda d, _, c: [{"page": p, "image_idx": i, "image": x, "ocr_text": read(x)} for p, i, x in d.images(c)]
+    def each(d: Distiller, _: str, c: bytes) -> list[dict]:
+        rows = []
+        for page, i, read in d.images(c):
+            try:
+                image = read()
+                if readable:
+                    readable(image)
+            except Exception:
+                continue
+            rows.append({"page": page, "image_idx": i, "image": image, "ocr_text": text_of(image)})
+        return rows
+
     return _per_file(files, each, "path string, page int, image_idx int, image binary, ocr_text string, error string")
 
 
@@ -173,14 +204,32 @@ def table_csv(rows: list[list[str]], index: int) -> str:
     return out.getvalue()
 
 
+def csv_line(cells: Column) -> Column:
+    """An array of cells as one line of CSV: a cell with a comma, a quote or a line end stands in quotes."""
+    one = lambda c: F.when(F.rlike(c, F.lit('[",\r\n]')), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    whole = F.array_join(F.transform(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), one), ",")
+    return F.when((F.size(cells) == 1) & (whole == ""), F.lit('""')).otherwise(whole)
+
+
+def table_lines(found: DataFrame) -> DataFrame:
+    """(path, table_idx, row_idx, line) of ``tables``: a heading (row_idx -1), each row as CSV, and an empty line behind the last one."""
+    rows = found.filter(F.col("error").isNull() & F.col("table_idx").isNotNull())
+    ends = rows.groupBy("path", "table_idx").agg((F.max("row_idx") + 1).alias("last")).select("path", "table_idx", F.explode(F.array(F.struct(F.lit(-1).alias("row_idx"), F.format_string("Table %d:", "table_idx").alias("line")), F.struct(F.col("last").alias("row_idx"), F.lit("").alias("line")))).alias("x"))
+    return rows.select("path", "table_idx", "row_idx", csv_line(F.col("cells")).alias("line")).unionByName(ends.select("path", "table_idx", "x.row_idx", "x.line"))
+
+
 def write_tables(found: DataFrame, path: str) -> None:
-    """One line of CSV text for each row, in folders by table (SNK8)."""
-    found.filter(F.col("error").isNull()).select("table_idx", F.to_csv(F.struct(F.array_join("cells", "\t"))).alias("line")).write.partitionBy("table_idx").mode("append").text(path)
+    """One text file for each table, in folders by file and table, its lines in order (SNK8)."""
+    lines = table_lines(found).repartition("path", "table_idx").sortWithinPartitions("path", "table_idx", "row_idx")
+    lines.select("path", "table_idx", "line").write.partitionBy("path", "table_idx").mode("append").text(path)
 
 
 def json_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(line_no, v) of each line that is JSON, v as a variant; see ``lenient`` (SRC11)."""
-    return lenient(spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")), limit)
+    """(line_no, v) of each line that is JSON, v as a variant; see ``lenient`` (SRC11). Lines count from 0 through all files in order of path."""
+    # Within a part of a file the id grows; parts are put in order by their file and place.
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    lines = numbered(spark.read.text(path).select(F.lit(0).alias("_all"), at.alias("_place"), F.col("value").alias("line")), "_all", "_place", "line_no")
+    return lenient(lines.select("line_no", "line"), limit)
 
 
 def lenient(lines: DataFrame, limit: int | None = None) -> DataFrame:
