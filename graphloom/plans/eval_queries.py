@@ -9,6 +9,7 @@ from graphloom.operators import evaluate as E
 from graphloom.session import table
 from graphloom.sources.files import labelled_rows, lenient
 from graphloom.sources.files import truth_entities as entities_of
+from graphloom.sources.sinks import report_details, report_lines
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +85,19 @@ def eval_missed(spark: SparkSession, d: str) -> DataFrame:
     return E.missed(E.entity_details(*_parts(spark, d))).select("doc_id", "truth.name", "truth.label")
 
 
-QUERIES = {f.__name__: f for f in (jsonl_lenient, truth_entities, truth_relations, eval_entity_details, eval_relation_details, eval_entities, eval_relations, eval_missed)}
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the readable report."""
+    return report_lines(E.entity_details(*_parts(spark, d)), "n_type_correct").select("line_no", "line")
+
+
+def eval_report_details(spark: SparkSession, d: str) -> DataFrame:
+    """Names found rightly, wrongly and not at all, of each document."""
+    rows = report_details(E.entity_details(*_parts(spark, d)))
+    names = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x["name"])), "|")
+    return rows.select("doc_id", *(names(c).alias(c) for c in ("correct", "wrong", "missed")))
+
+
+QUERIES = {f.__name__: f for f in (jsonl_lenient, truth_entities, truth_relations, eval_entity_details, eval_relation_details, eval_entities, eval_relations, eval_missed, eval_report, eval_report_details)}
 
 _N = lambda x: f"replace(replace(replace(trim({x}, ' ' || chr(9) || chr(10)), ' ', ''), chr(9), ''), chr(10), '')"
 _LIKE = lambda a, b: f"(contains({a}, {b}) OR contains({b}, {a}))"
@@ -122,7 +135,17 @@ q AS (SELECT *, n_correct / n_predicted AS p, n_correct / n_truth AS r FROM s)
 SELECT n_truth, n_predicted, n_correct, {extra}, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1, round({extra} / n_correct, 9) AS accuracy FROM q"""
 
 
+_REPORT = f"""WITH RECURSIVE {_greedy_sql('entity')}, s AS (SELECT sum(n_truth)::BIGINT AS t, sum(n_predicted)::BIGINT AS e, sum(n_correct)::BIGINT AS c, sum(n_good)::BIGINT AS g, count(*) AS n FROM det),
+q AS (SELECT *, c / e AS p, c / t AS r FROM s),
+l AS (SELECT [printf('Precision: %.4f', p), printf('Recall: %.4f', r), printf('F1: %.4f', 2 * p * r / (p + r)), printf('Accuracy of matches: %.4f', g / c), 'Truth: ' || t, 'Extracted: ' || e, 'Correct: ' || c, 'Accurate: ' || g, 'Documents: ' || n] AS l FROM q)
+SELECT (i - 1)::INT AS line_no, l[i] AS line FROM l, range(1, 10) AS x(i)"""
+
 ORACLES = {
+    "eval_report": _REPORT,
+    "eval_report_details": f"""WITH RECURSIVE {_greedy_sql('entity')} SELECT doc_id,
+  coalesce((SELECT string_agg(name, '|' ORDER BY name) FROM p JOIN each e USING (doc_id) WHERE p.doc_id = det.doc_id AND e.pi = p.i), '') AS correct,
+  coalesce((SELECT string_agg(name, '|' ORDER BY name) FROM p WHERE p.doc_id = det.doc_id AND NOT EXISTS (SELECT 1 FROM each e WHERE e.doc_id = p.doc_id AND e.pi = p.i)), '') AS wrong,
+  coalesce((SELECT string_agg(name, '|' ORDER BY name) FROM t WHERE t.doc_id = det.doc_id AND NOT list_contains(det.taken, t.i)), '') AS missed FROM det""",
     "jsonl_lenient": "SELECT event_id AS line_no, 't' AS text FROM events WHERE event_id % 10 > 1 ORDER BY event_id LIMIT 100",
     "truth_entities": f"WITH {_LINES}, en AS (SELECT doc_id, 2 * ord AS o, s AS name, st AS label FROM spo UNION ALL SELECT doc_id, 2 * ord + 1, o, ot FROM spo) SELECT doc_id, name, arg_min(label, o) AS label FROM en GROUP BY doc_id, name",
     "truth_relations": f"WITH {_LINES} SELECT DISTINCT doc_id, s AS subject, o AS object, 'did' AS predicate FROM spo",

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.backends import switch
 from graphloom.functions import vectors as V
+from graphloom.functions.prompts import FORMATS, PROMPTS
 from graphloom.operators import graph as G
 from graphloom.operators.distill import text_blocks
-from graphloom.operators.extract import block_entities, memo, rule_relations
+from graphloom.operators.extract import block_entities, memo, replies, rule_relations, usage
 from graphloom.operators.merge import entity_blocks, merge_round, merge_with_existing, tree_merge
 from graphloom.operators.similarity import cosine_pairs as pairs_of
 from graphloom.plans.pipeline import build_graph
-from graphloom.plans.text_queries import _blocks_sql
+from graphloom.plans.text_queries import _LANG, _blocks_sql, _q
 from graphloom.session import table
 
 #: Vectors of the synthetic tables are far apart; at this cosine a few of them match.
@@ -169,12 +171,17 @@ def embed_memo(spark: SparkSession, d: str) -> DataFrame:
     return memo(_described(spark, d)).select("doc_id", "name", "label", "description")
 
 
+def extraction_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the calls that extract from every block of every document."""
+    return usage(replies(text_blocks(table(spark, d, "documents")), switch("extractor", "rule"))).select("doc_id", "block_idx", "model", "input_tokens", "output_tokens")
+
+
 def build_kg(spark: SparkSession, d: str) -> DataFrame:
     """All documents, from text to a merged graph."""
     return build_graph(table(spark, d, "documents").select("doc_id", "text"))[1].select("start_name", "start_label", "end_name", "end_label", "label", "name")
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, vector_norms, weighted_embedding, merge_pair_entities, merge_pair_relations, merge_pair_log, tree_merge_entities, tree_merge_relations, merge_existing_kg, kg_entities, kg_relations, kg_append, kg_nodes, kg_edges, kg_triples, kg_isolated, kg_clear, kg_query, rule_extract, block_entity_dedup, embed_memo, build_kg)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, vector_norms, weighted_embedding, merge_pair_entities, merge_pair_relations, merge_pair_log, tree_merge_entities, tree_merge_relations, merge_existing_kg, kg_entities, kg_relations, kg_append, kg_nodes, kg_edges, kg_triples, kg_isolated, kg_clear, kg_query, rule_extract, block_entity_dedup, embed_memo, extraction_usage, build_kg)}
 
 
 def _start_sql(n: int) -> str:
@@ -203,6 +210,10 @@ def _first(keys: str, rest: str, source: str, order: str = "ord", last: bool = F
 
 _NAMES = "regexp_extract_all(text, '[A-Z][a-z]{2,}')"
 _RULE = f"WITH RECURSIVE {_blocks_sql()}, blk AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS block_idx, t AS text FROM r WHERE reason IS NULL), w AS (SELECT doc_id, block_idx, {_NAMES} AS w FROM blk), rl AS (SELECT doc_id, block_idx, unnest(range(len(w) - 1))::INT AS ord, w FROM w), rx AS (SELECT doc_id, block_idx, ord, w[ord + 1] AS start_name, w[ord + 2] AS end_name FROM rl)"
+# A reply of the rule extractor as text: a fixed frame around each pair of names.
+_NODE = lambda n: f"""'{{"label": "Term", "name": "' || {n} || '", "description": ""}}'"""
+_REPLY = f"""'{{"relations": [' || coalesce(array_to_string(list_transform(range(1, greatest(len(w), 1)), lambda i: '{{"start_entity": ' || {_NODE('w[i]')} || ', "end_entity": ' || {_NODE('w[i + 1]')} || ', "label": "precedes", "name": "precedes", "description": ""}}'), ', '), '') || ']}}'"""
+_PROMPT = f"'Text: ' || text || chr(10) || 'Question: ' || CASE WHEN coalesce({_LANG}, 'en') = 'zh' THEN {_q(PROMPTS['zh']['extract'])} ELSE {_q(PROMPTS['en']['extract'])} END || chr(10) || 'Format_instructions: ' || {_q(FORMATS['extract'])} || chr(10) || 'Answer:'"
 _EDGES = "SELECT * FROM rel WHERE end_name <> 'BUILDING'"
 
 ORACLES = {
@@ -229,5 +240,6 @@ kg AS (SELECT name, label, k, 0 AS part, f FROM e_all WHERE block = 0 UNION ALL
     "kg_query": f"WITH {_TRADE} SELECT start_name, count(DISTINCT label) AS n_edges FROM rel WHERE end_name = 'MACHINERY' GROUP BY start_name",
     "rule_extract": f"{_RULE} SELECT doc_id, block_idx, ord, start_name, end_name, 'precedes' AS label FROM rx",
     "block_entity_dedup": f"{_RULE} SELECT doc_id, block_idx, min(o)::BIGINT AS ord, 'Term' AS label, name FROM (SELECT doc_id, block_idx, 2 * ord AS o, start_name AS name FROM rx UNION ALL SELECT doc_id, block_idx, 2 * ord + 1, end_name FROM rx) GROUP BY doc_id, block_idx, name",
+    "extraction_usage": f"{_RULE.replace(', w AS (SELECT doc_id, block_idx,', ', w AS (SELECT doc_id, block_idx, text,').split(', rl AS')[0]} SELECT doc_id, block_idx, 'rule' AS model, length({_PROMPT}) // 2 AS input_tokens, length({_REPLY}) // 2 AS output_tokens FROM w",
     "embed_memo": f"{_RULE} SELECT doc_id, name, 'Term' AS label, 'in ' || min(block_idx) AS description FROM (SELECT doc_id, block_idx, start_name AS name FROM rx UNION ALL SELECT doc_id, block_idx, end_name FROM rx) GROUP BY doc_id, name",
 }

@@ -10,7 +10,7 @@ from graphloom.functions.prompts import FORMATS, PROMPTS, rendered
 from graphloom.operators.distill import rejected_blocks, text_blocks
 from graphloom.operators.usage import PRICES, price, reported_tokens, summary, with_cost, with_previews
 from graphloom.session import table
-from graphloom.sources.files import new_files
+from graphloom.sources.files import new_files, table_lines
 
 CHINESE = "这是一个中文句子" * 20
 MODELS = ["gpt-4o", "GPT-4o-mini", "gpt-4-turbo", "gpt-3.5-turbo", "qwen-turbo", "qwen-plus-latest", "ollama/llama", "other"]
@@ -23,10 +23,10 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_W}+|{_W}+$', '', 'g')"
 
 
-def _blocks_sql() -> str:
+def _blocks_sql(source: str = "documents", tokens: str = r"len(regexp_extract_all(t, '(?s)[A-Za-z0-9]+(?:\.\d+)?%?|.'))") -> str:
     """Common tables that end in b(doc_id, p, t): blocks by a walk from line to line."""
     return f"""
-raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source}),
 s AS (SELECT doc_id, i, {_strip('t')} AS t FROM raw),
 n AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s WHERE t <> ''),
 step AS (SELECT doc_id, p, t, lead(t) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM n),
@@ -35,7 +35,7 @@ walk AS (SELECT doc_id, 1::BIGINT AS p FROM n WHERE p = 1
 b AS (SELECT doc_id, p, CASE WHEN length(t) < 10 AND nxt IS NOT NULL THEN t || ' ' || nxt ELSE t END AS t FROM walk JOIN step USING (doc_id, p)),
 r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos, t, CASE
   WHEN NOT regexp_matches(t, '[A-Za-z一-龥]') THEN 'no_letter'
-  WHEN len(regexp_extract_all(t, '{_NW}+')) <= 2 AND len(regexp_extract_all(t, '(?s)[A-Za-z0-9]+(?:\\.\\d+)?%?|.')) <= 2 THEN 'few_words'
+  WHEN len(regexp_extract_all(t, '{_NW}+')) <= 2 AND {tokens} <= 2 THEN 'few_words'
   WHEN regexp_matches(t, '\\[{_W}*\\p{{Nd}}+{_W}*\\]{_W}*[A-Z][a-z]+') OR regexp_matches(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')
     OR (regexp_matches(t, '(?i)Proceedings|Journal|Conference|pages|vol|ACM|IEEE|arXiv|Springer') AND regexp_matches(t, '[A-Z]\\.?,{_W}*[A-Z]')) THEN 'reference'
   WHEN NOT regexp_matches(t, '[.?!。]') THEN 'no_sentence' END AS reason FROM b)"""
@@ -78,6 +78,28 @@ def lang_detect_doc(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", T.document_language(F.col("text"), F.col("path")).alias("lang_detected"))
 
 
+def _classify(text: str) -> str:
+    """Stands in for a classifier: sure of two languages, at a loss elsewhere."""
+    return "zh-cn" if "中文" in text else {"e": "en", "d": "de"}[text[0].lower()]
+
+
+def lang_classified(spark: SparkSession, d: str) -> DataFrame:
+    """Languages where a classifier goes before the rules."""
+    docs = _mixed(spark, d)
+    return docs.select("doc_id", T.document_language(F.col("text"), F.lit("x.pdf"), T.classified(_classify)(F.col("text"))).alias("lang_detected"))
+
+
+def table_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as rows of tables, a table for each conversation."""
+    rows = table(spark, d, "conversations").select(F.concat(F.lit("c"), (F.col("conv_id") % 7).cast("string")).alias("path"), F.col("conv_id").cast("int").alias("table_idx"), F.col("turn").cast("int").alias("row_idx"), F.array("role", F.concat(F.lit('say "'), F.left("text", F.lit(20)), F.lit('"')), F.lit(""), F.lit("a,b")).alias("cells"), F.lit(None).cast("string").alias("error"))
+    return table_lines(rows)
+
+
+def segmented_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Valid blocks where a segmenter counts: here one that takes every two characters as a token."""
+    return text_blocks(_mixed(spark, d), T.segmented(lambda t: range((len(t) + 1) // 2)))
+
+
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d).select("doc_id", rendered(F.col("text"), T.language_of_text(F.col("text"))).alias("prompt"))
 
@@ -151,7 +173,7 @@ def incremental_files(spark: SparkSession, d: str) -> DataFrame:
     return new_files(docs, docs.filter("doc_id % 3 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (distill_blocks, distill_rejects, document_text, lang_detect_text, lang_detect_filename, lang_detect_doc, prompt_render, token_estimate, token_cost, price_lookup, usage_summary, usage_log, usage_reported, preview_text, normalise_name, escape_label, bold_entities, incremental_files)}
+QUERIES = {f.__name__: f for f in (distill_blocks, distill_rejects, document_text, lang_detect_text, lang_detect_filename, lang_detect_doc, lang_classified, table_csv, segmented_blocks, prompt_render, token_estimate, token_cost, price_lookup, usage_summary, usage_log, usage_reported, preview_text, normalise_name, escape_label, bold_entities, incremental_files)}
 
 
 def _cut(x: str, n: int) -> str:
@@ -169,6 +191,11 @@ ORACLES = {
     "lang_detect_text": f"SELECT doc_id, {_LANG} AS lang_detected FROM {_MIXED}",
     "lang_detect_filename": f"SELECT page_id, {_NAMED} AS lang_detected FROM (SELECT page_id, url AS f FROM pages)",
     "lang_detect_doc": f"SELECT doc_id, coalesce({_LANG}, {_NAMED}) AS lang_detected FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '123' ELSE text END AS text, CASE WHEN doc_id % 3 = 0 THEN '报告' ELSE 'doc' END || doc_id || '.pdf' AS f FROM {_MIXED})",
+    "lang_classified": f"SELECT doc_id, CASE WHEN contains(left(text, 1000), '中文') THEN 'zh' WHEN lower(left(text, 1)) = 'e' THEN 'en' ELSE coalesce({_LANG}, 'en') END AS lang_detected FROM {_MIXED}",
+    "table_csv": """WITH t AS (SELECT 'c' || (conv_id % 7) AS path, conv_id::INT AS table_idx, turn::INT AS row_idx, role, 'say "' || left(text, 20) || '"' AS said FROM conversations)
+SELECT path, table_idx, row_idx, role || ',"' || replace(said, '"', '""') || '",,"a,b"' AS line FROM t
+UNION ALL SELECT DISTINCT path, table_idx, -1, 'Table ' || table_idx || ':' FROM t UNION ALL SELECT path, table_idx, (max(row_idx) + 1)::INT, '' FROM t GROUP BY path, table_idx""",
+    "segmented_blocks": f"WITH RECURSIVE {_blocks_sql(_MIXED, '(length(t) + 1) // 2')} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS block_idx, t AS text FROM r WHERE reason IS NULL",
     "prompt_render": f"SELECT doc_id, 'Text: ' || text || chr(10) || 'Question: ' || CASE WHEN coalesce({_LANG}, 'en') = 'zh' THEN {_q(PROMPTS['zh']['extract'])} ELSE {_q(PROMPTS['en']['extract'])} END || chr(10) || 'Format_instructions: ' || {_q(FORMATS['extract'])} || chr(10) || 'Answer:' AS prompt FROM {_MIXED}",
     "token_estimate": f"SELECT doc_id, {_TOK('text')} AS tokens, coalesce(length(text) // 2, 100)::BIGINT AS coarse_tokens FROM {_MIXED}",
     "token_cost": f"WITH {_USAGE} SELECT conv_id, turn, model, input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens, round(input_tokens * p_in / 1000, 9) AS cost_input, round(output_tokens * p_out / 1000, 9) AS cost_output, round((input_tokens * p_in + output_tokens * p_out) / 1000, 9) AS cost_total FROM c",
