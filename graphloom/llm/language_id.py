@@ -2,9 +2,9 @@
 
 The bytes of a text are read in segments of SEGMENT bytes, forwards and backwards; at every byte the two states give a
 distribution over the languages, and the mean of these over all bytes of the text that are no ASCII spaces, digits or signs is the
-document's. The network is trained here, in numpy, by backpropagation through time with Adam, on segments of at most SAMPLE documents whose
-fold (crc32 of doc_id, modulo 5) is not HELD_OUT and whose language is known; in a larger table each language has its own share of them, FEW at least. Which documents these are, and where their
-segments start, follows from hashes, so training is repeatable.
+document's. The network is trained here, in numpy, by backpropagation through time with Adam, on at most SAMPLE segments of the documents whose
+fold (crc32 of doc_id, modulo 5) is not HELD_OUT and whose language is known. Every segment of every such text may be drawn, wherever it stands; in a larger table each language has its own share of them, FEW at least. Which
+segments these are follows from hashes, so training is repeatable.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. With no labelled document at all everything is ``und``; with one language
 everything with a letter is that one. Ties go to the language that sorts first. Texts are read whole. Repeated rows
@@ -19,18 +19,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm import labelled
-from graphloom.llm.arrays import pieces
+from graphloom.llm.arrays import U, mix, pieces
 from graphloom.session import materialise, release
 
 FOLDS, HELD_OUT = 5, 0
-#: The most documents that the network learns from, and segments of each.
-SAMPLE, CUTS = 4_000, 4
-#: Documents of a rare language in the sample, if it has them.
-FEW = 100
+#: The most labelled segments that the network learns from.
+SAMPLE = 16_000
+#: Segments of a rare language in the sample, if it has them.
+FEW = 400
 HIDDEN, SEGMENT, LANES = 12, 64, 2048
 STEPS, BATCH, STEP_SIZE = 160, 128, 0.03
 #: Bytes that say nothing about the language: they are read, but not pooled.
@@ -185,43 +184,53 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """CUTS segments from all over each text."""
-    for batch in batches:
-        rows: list[list] = []
-        for t in batch.column(1):
-            raw = t.as_py().encode() if t.is_valid else b""
-            last = max(0, len(raw) - SEGMENT)
-            rows.append([raw[a : a + SEGMENT] for a in sorted({last * j // max(1, CUTS - 1) for j in range(CUTS)})] if raw else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.binary()))], names=["doc_id", "lang", "segments"])
+def _cut(draws: dict[str, int]):
+    """The segments of whole texts whose hash is below their language's draw (of 1 << 30)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, langs, places, found = [], [], [], []
+            for i, t, lang in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                raw = t.as_buffer()
+                with np.errstate(over="ignore"):
+                    chance = mix(np.arange(-(-raw.size // SEGMENT), dtype=np.uint64) + mix(np.array([i], dtype=np.int64).view(np.uint64)))
+                for k in np.flatnonzero((chance >> U(34)) < draws.get(lang, 0)).tolist():
+                    ids.append(i)
+                    langs.append(lang)
+                    places.append(int(chance[k] >> U(1)))
+                    found.append(bytes(raw[k * SEGMENT : (k + 1) * SEGMENT]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(places, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "lang", "place", "segment"])
+
+    return run
 
 
 def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
-    """How many documents of each language to learn from, ``sample`` at most in all: FEW of each or all it has, and the rest in proportion."""
+    """How many segments of each language to learn from, ``sample`` at most in all: FEW of each or all it has, and the rest in proportion."""
     few = max(1, min(FEW, sample // (2 * max(1, len(counts)))))
-    rest, n = max(0, sample - few * len(counts)), sum(counts.values())
+    rest, n = max(0, sample - sum(min(c, few) for c in counts.values())), sum(counts.values())
     return {x: min(c, few + rest * c // n) for x, c in counts.items()}
 
 
 def learned(docs: DataFrame, sample: int = SAMPLE) -> Network:
-    """The network from at most ``sample`` documents (doc_id, text, lang) outside the held-out fold."""
+    """The network from at most ``sample`` segments of the documents (doc_id, text, lang) outside the held-out fold."""
     fold = labelled.bucket(F.col("doc_id"), FOLDS)
-    rows = docs.filter((fold != HELD_OUT) & (fold >= 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text", "lang")
-    place = F.xxhash64("doc_id", F.lit(5))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
-    most, chosen = dict.fromkeys(counts, sample), rows
-    if sum(counts.values()) > sample:
-        most = quotas(counts, sample)
-        # More than the quota is drawn, so that chance leaves enough; what is too much goes below.
-        draws = [(x, int((1 << 30) * min(1.0, (1.1 * q + 5 * q**0.5 + 10) / counts[x]))) for x, q in most.items()]
-        drawn = rows.join(F.broadcast(docs.sparkSession.createDataFrame(draws, "lang string, _draw long")), "lang")
-        chosen = drawn.filter(F.pmod(place, F.lit(1 << 30)) < F.col("_draw")).select("doc_id", "text", "lang")
-    cut = materialise(chosen.mapInArrow(_cut, "doc_id long, lang string, segments array<binary>"), "segments")
-    limit = F.create_map(*[F.lit(v) for pair in most.items() for v in pair])[F.col("lang")] if most else F.lit(0)
-    got = cut.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id"))).filter(F.col("_n") <= limit).collect()
+    rows = docs.filter((fold != HELD_OUT) & (fold >= 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    size = F.ceil(F.octet_length("text") / SEGMENT)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(size).cast("long").alias("n")).filter("n > 0").orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    most = quotas(counts, sample) if sum(counts.values()) > sample else counts
+    # More than the quota is drawn, so that chance leaves enough; what is too much goes below.
+    draws = {x: int((1 << 30) * min(1.0, (1.1 * q + 5 * q**0.5 + 10) / counts[x])) for x, q in most.items()}
+    cut = materialise(rows.mapInArrow(_cut(draws), "doc_id long, lang string, place long, segment binary"), "segments")
+    # Drawn are about 1.1 times the sample, so this is bounded as the sample is.
+    got = sorted((r["doc_id"], r["place"], bytes(r["segment"]), r["lang"]) for r in cut.collect())
     release(cut)
-    pairs = sorted((r["doc_id"], bytes(s), r["lang"]) for r in got for s in r["segments"])
-    return train([s for _, s, _ in pairs], [x for _, _, x in pairs])
+    left, pairs = dict(most), []
+    for i, place, segment, lang in sorted(got, key=lambda x: x[1:]):
+        if left[lang] > 0:
+            left[lang] -= 1
+            pairs.append((i, place, segment, lang))
+    pairs.sort()
+    return train([s for _, _, s, _ in pairs], [x for _, _, _, x in pairs])
 
 
 def _label(net: Network):
