@@ -73,3 +73,8 @@ def summary(usage: DataFrame, *by: str) -> DataFrame:
         F.coalesce(F.sum("cost_total"), F.lit(0.0)).alias("cost_total"),
         F.coalesce(F.try_divide(total, F.count(F.lit(1))), F.lit(0.0)).alias("avg_tokens"),
     )
+
+
+def log_usage(usage: DataFrame, path: str) -> None:
+    """Append each call as one JSON object to the log under ``path`` (SNK11)."""
+    usage.write.mode("append").json(path)

@@ -10,8 +10,8 @@ from graphloom.functions import vectors as V
 from graphloom.functions.prompts import FORMATS, PROMPTS
 from graphloom.operators import graph as G
 from graphloom.operators.distill import text_blocks
-from graphloom.operators.extract import block_entities, memo, replies, rule_relations, usage
-from graphloom.operators.merge import entity_blocks, merge_round, merge_with_existing, tree_merge
+from graphloom.operators.extract import block_entities, memo, parsed_entities, parsed_relations, records, replies, rule_relations, usage, valid_relations
+from graphloom.operators.merge import entity_blocks, merge_round, merge_with_existing, tree_merge, with_dense_blocks
 from graphloom.operators.similarity import cosine_pairs as pairs_of
 from graphloom.plans.pipeline import build_graph
 from graphloom.plans.text_queries import _LANG, _blocks_sql, _q
@@ -171,6 +171,58 @@ def embed_memo(spark: SparkSession, d: str) -> DataFrame:
     return memo(_described(spark, d)).select("doc_id", "name", "label", "description")
 
 
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """A reply for each part: most with relations between words of its name and type, some malformed, empty, or with ends as bare names or missing."""
+    k, a, b = F.col("p_partkey"), F.split("p_name", " ")[0], F.split("p_type", " ")[0]
+    node = lambda n, label: F.concat(F.lit(f'{{"label": "{label}", "name": "'), n, F.lit('", "description": "'), F.lit("d "), n, F.lit('"}'))
+    rel = lambda x, y, name: F.concat(F.lit('{"start_entity": '), x, F.lit(', "end_entity": '), y, F.lit(f', "label": "is", "name": "{name}"}}'))
+    bare = lambda n: F.concat(F.lit('"'), n, F.lit('"'))
+    two = F.concat(rel(node(a, "Word"), node(b, "Kind"), "of"), F.lit(", "), rel(node(b, "Kind"), node(F.lit(" "), "Kind"), " "))
+    items = F.when(k % 7 == 1, F.lit("")).when(k % 7 == 2, rel(bare(a), bare(b), "of")).when(k % 7 == 3, F.concat(two, F.lit(", "), rel(node(a, "Word"), F.lit("null"), "of"))).otherwise(two)
+    reply = F.when(k % 7 == 0, "{broken").when(k % 7 == 6, F.lit(None)).otherwise(F.concat(F.lit('{"relations": ['), items, F.lit("]}")))
+    return table(spark, d, "part").select(F.lit(1).cast("long").alias("doc_id"), k.cast("int").alias("block_idx"), reply.alias("reply"))
+
+
+def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Relations out of replies as JSON; a malformed reply drops its block."""
+    return parsed_relations(_answers(spark, d)).select("block_idx", "ord", F.col("start.name").alias("start_name"), F.col("start.label").alias("start_label"), F.col("end.name").alias("end_name"), F.col("end.description").alias("end_description"), "name")
+
+
+def checked_relations(spark: SparkSession, d: str) -> DataFrame:
+    return valid_relations(parsed_relations(_answers(spark, d))).select("block_idx", "ord", F.col("end.name").alias("end_name"))
+
+
+def reply_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct ends of the relations of each block that have a name and a label."""
+    return block_entities(parsed_relations(_answers(spark, d))).select("block_idx", "ord", "name", "label", "description")
+
+
+def entity_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Entities out of replies that list them, with blank and null names left out, and with null ones only."""
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 0, "null").when(k % 5 == 1, '" "').otherwise(F.concat(F.lit('"'), "p_name", F.lit('"')))
+    replied = table(spark, d, "part").select(F.lit(1).cast("long").alias("doc_id"), k.cast("int").alias("block_idx"), F.concat(F.lit('{"entities": [{"label": "Part", "name": '), name, F.lit("}]}")).alias("reply"))
+    strict, weak = (parsed_entities(replied, s).select("block_idx", "name", F.lit(s).alias("strict")) for s in (True, False))
+    return strict.unionByName(weak)
+
+
+def reply_records(spark: SparkSession, d: str) -> DataFrame:
+    """Delimited records of a reply; lines of another form and those behind the end do not count."""
+    line = lambda *x: F.concat_ws("<|>", *x)
+    text = F.concat_ws("\n", line(F.lit("entity"), F.lit(" "), "p_name", "p_type"), line(F.lit("entity"), "p_name"), line(F.lit("relation"), "p_name", "p_brand", F.lit("k"), F.lit("d")), F.when(F.col("p_partkey") % 2 == 0, F.lit("<END>")), line(F.lit("entity"), "p_brand", F.lit("Brand"), F.lit(" x ")))
+    return table(spark, d, "part").select("p_partkey", F.explode(records(text)).alias("r")).select("p_partkey", F.array_join("r", "|").alias("record"))
+
+
+def dense_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that have entities and relations, counted from 0 in each graph: a nation's customers are entities, those with a debt relations."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("graph"), (F.col("c_custkey") % 40).cast("int").alias("block"), F.col("c_custkey").alias("ord"), "c_acctbal", "c_name")
+    text, none = (lambda *names: [F.col("c_name").alias(n) for n in names]), F.lit(None).cast("array<double>").alias("embedding")
+    ents = c.select("graph", "block", "ord", *text("name", "label"), none, *text("description"))
+    rels = c.filter("c_acctbal < 0").select("graph", "block", "ord", *text("start_name", "start_label", "end_name", "end_label", "label", "name"), none, *text("description"))
+    e, r = with_dense_blocks(ents, rels)
+    return e.select("graph", "block", "ord", F.lit("entity").alias("kind")).unionByName(r.select("graph", "block", "ord", F.lit("relation").alias("kind")))
+
+
 def extraction_usage(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the calls that extract from every block of every document."""
     return usage(replies(text_blocks(table(spark, d, "documents")), switch("extractor", "rule"))).select("doc_id", "block_idx", "model", "input_tokens", "output_tokens")
@@ -181,7 +233,7 @@ def build_kg(spark: SparkSession, d: str) -> DataFrame:
     return build_graph(table(spark, d, "documents").select("doc_id", "text"))[1].select("start_name", "start_label", "end_name", "end_label", "label", "name")
 
 
-QUERIES = {f.__name__: f for f in (cosine_pairs, vector_norms, weighted_embedding, merge_pair_entities, merge_pair_relations, merge_pair_log, tree_merge_entities, tree_merge_relations, merge_existing_kg, kg_entities, kg_relations, kg_append, kg_nodes, kg_edges, kg_triples, kg_isolated, kg_clear, kg_query, rule_extract, block_entity_dedup, embed_memo, extraction_usage, build_kg)}
+QUERIES = {f.__name__: f for f in (cosine_pairs, vector_norms, weighted_embedding, merge_pair_entities, merge_pair_relations, merge_pair_log, tree_merge_entities, tree_merge_relations, merge_existing_kg, kg_entities, kg_relations, kg_append, kg_nodes, kg_edges, kg_triples, kg_isolated, kg_clear, kg_query, rule_extract, block_entity_dedup, embed_memo, parsed_replies, checked_relations, reply_entities, entity_replies, reply_records, dense_blocks, extraction_usage, build_kg)}
 
 
 def _start_sql(n: int) -> str:
@@ -214,6 +266,11 @@ _RULE = f"WITH RECURSIVE {_blocks_sql()}, blk AS (SELECT doc_id, (row_number() O
 _NODE = lambda n: f"""'{{"label": "Term", "name": "' || {n} || '", "description": ""}}'"""
 _REPLY = f"""'{{"relations": [' || coalesce(array_to_string(list_transform(range(1, greatest(len(w), 1)), lambda i: '{{"start_entity": ' || {_NODE('w[i]')} || ', "end_entity": ' || {_NODE('w[i + 1]')} || ', "label": "precedes", "name": "precedes", "description": ""}}'), ', '), '') || ']}}'"""
 _PROMPT = f"'Text: ' || text || chr(10) || 'Question: ' || CASE WHEN coalesce({_LANG}, 'en') = 'zh' THEN {_q(PROMPTS['zh']['extract'])} ELSE {_q(PROMPTS['en']['extract'])} END || chr(10) || 'Format_instructions: ' || {_q(FORMATS['extract'])} || chr(10) || 'Answer:'"
+_ANSWERS = """
+pa AS (SELECT p_partkey::INT AS k, string_split(p_name, ' ')[1] AS a, string_split(p_type, ' ')[1] AS b FROM part),
+pr AS (SELECT k, 0 AS ord, a AS sn, CASE WHEN k % 7 <> 2 THEN 'Word' END AS sl, b AS en, CASE WHEN k % 7 <> 2 THEN 'Kind' END AS el, 'of' AS name FROM pa WHERE k % 7 IN (2, 4, 5)
+       UNION ALL SELECT k, 1, b, 'Kind', ' ', 'Kind', ' ' FROM pa WHERE k % 7 IN (4, 5)),
+pe AS (SELECT k, 2 * ord AS o, sn AS name, sl AS label FROM pr UNION ALL SELECT k, 2 * ord + 1, en, el FROM pr)"""
 _EDGES = "SELECT * FROM rel WHERE end_name <> 'BUILDING'"
 
 ORACLES = {
@@ -240,6 +297,14 @@ kg AS (SELECT name, label, k, 0 AS part, f FROM e_all WHERE block = 0 UNION ALL
     "kg_query": f"WITH {_TRADE} SELECT start_name, count(DISTINCT label) AS n_edges FROM rel WHERE end_name = 'MACHINERY' GROUP BY start_name",
     "rule_extract": f"{_RULE} SELECT doc_id, block_idx, ord, start_name, end_name, 'precedes' AS label FROM rx",
     "block_entity_dedup": f"{_RULE} SELECT doc_id, block_idx, min(o)::BIGINT AS ord, 'Term' AS label, name FROM (SELECT doc_id, block_idx, 2 * ord AS o, start_name AS name FROM rx UNION ALL SELECT doc_id, block_idx, 2 * ord + 1, end_name FROM rx) GROUP BY doc_id, block_idx, name",
+    "parsed_replies": f"WITH {_ANSWERS} SELECT k AS block_idx, ord, sn AS start_name, sl AS start_label, en AS end_name, CASE WHEN el IS NULL THEN '' ELSE 'd ' || en END AS end_description, name FROM pr",
+    "checked_relations": f"WITH {_ANSWERS} SELECT k AS block_idx, ord, en AS end_name FROM pr WHERE trim(name) <> ''",
+    "reply_entities": f"WITH {_ANSWERS} SELECT k AS block_idx, min(o)::BIGINT AS ord, name, label, 'd ' || name AS description FROM pe WHERE trim(name) <> '' AND label IS NOT NULL GROUP BY k, name, label",
+    "entity_replies": "SELECT p_partkey::INT AS block_idx, p_name AS name, s AS strict FROM part, (VALUES (true), (false)) AS v(s) WHERE p_partkey % 5 > 1 UNION ALL SELECT p_partkey::INT, ' ', false FROM part WHERE p_partkey % 5 = 1",
+    "reply_records": "SELECT p_partkey, 'entity||' || p_name || '|' || p_type AS record FROM part UNION ALL SELECT p_partkey, 'relation|' || p_name || '|' || p_brand || '|k|d' FROM part UNION ALL SELECT p_partkey, 'entity|' || p_brand || '|Brand|x' FROM part WHERE p_partkey % 2 = 1",
+    "dense_blocks": """WITH c AS (SELECT c_nationkey::BIGINT AS graph, (c_custkey % 40)::INT AS b, c_custkey AS k, c_acctbal AS bal FROM customer),
+h AS (SELECT graph, b, row_number() OVER (PARTITION BY graph ORDER BY b) - 1 AS dense FROM (SELECT DISTINCT graph, b FROM c WHERE bal < 0))
+SELECT graph, dense::INT AS block, k AS ord, 'entity' AS kind FROM c JOIN h USING (graph, b) UNION ALL SELECT graph, dense::INT, dense * 4294967296 + k, 'relation' FROM c JOIN h USING (graph, b) WHERE bal < 0""",
     "extraction_usage": f"{_RULE.replace(', w AS (SELECT doc_id, block_idx,', ', w AS (SELECT doc_id, block_idx, text,').split(', rl AS')[0]} SELECT doc_id, block_idx, 'rule' AS model, length({_PROMPT}) // 2 AS input_tokens, length({_REPLY}) // 2 AS output_tokens FROM w",
     "embed_memo": f"{_RULE} SELECT doc_id, name, 'Term' AS label, 'in ' || min(block_idx) AS description FROM (SELECT doc_id, block_idx, start_name AS name FROM rx UNION ALL SELECT doc_id, block_idx, end_name FROM rx) GROUP BY doc_id, name",
 }

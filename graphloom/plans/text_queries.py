@@ -206,5 +206,9 @@ UNION ALL SELECT DISTINCT path, table_idx, -1, 'Table ' || table_idx || ':' FROM
     "preview_text": f"SELECT doc_id, {_cut('text', 100)} AS preview FROM documents",
     "normalise_name": "SELECT c_custkey, replace(c_name, ' ', '') || 'xy' || replace(c_mktsegment, ' ', '') AS name FROM customer",
     "escape_label": "SELECT p_partkey, '``' || replace(p_name, '`', '``') || '````x' AS label FROM part",
+    # Without look-around: a sign on either side is matched and put back, twice, so that names which share one are both found.
+    "bold_entities": """WITH RECURSIVE n AS (SELECT doc_id, text AS t, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]{2,}'), lambda x: lpad((99999 - length(x))::VARCHAR, 5, '0') || x))) AS names FROM documents),
+w AS (SELECT doc_id, 1 AS i, t, names FROM n UNION ALL SELECT doc_id, i + 1, regexp_replace(regexp_replace(t, '(^|[^*])(' || names[i][6:] || ')([^*]|$)', '\\1**\\2**\\3', 'g'), '(^|[^*])(' || names[i][6:] || ')([^*]|$)', '\\1**\\2**\\3', 'g'), names FROM w WHERE i <= len(names))
+SELECT doc_id, t AS bold FROM w WHERE i = coalesce(len(names), 0) + 1""",
     "incremental_files": "SELECT d.doc_id, 'f' || d.doc_id AS path FROM documents d ANTI JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) p USING (doc_id)",
 }

@@ -77,3 +77,10 @@ def test_languages_and_tokens(spark):
 def test_records(spark):
     df = spark.createDataFrame([("entity<|>A<|>T<|>d\nrelation<|>A<|>B<|>k<|>d\nentity<|>bad\n<END>\nentity<|>C<|>T<|>d",)], "t string")
     assert df.select(records(F.col("t"))).first()[0] == [["entity", "A", "T", "d"], ["relation", "A", "B", "k", "d"]]
+
+
+def test_distilling_is_planned_once(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for df in (text_blocks(docs), rejected_blocks(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(T.SENTENCE) == 1 and plan.count("Filter (size(valid") <= 1 and plan.count("regexp_replace") == 1
