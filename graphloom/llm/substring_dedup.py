@@ -8,8 +8,8 @@ the first and the last document that holds it.
 
 A window of WINDOW words that fully holds the determining span of a symbol which no earlier document has cannot start in an
 earlier document, and is cleared; likewise one with a symbol that no later document has cannot be the source of a later one. The windows that remain (those in
-shared passages, and the few that hold no determining span) are compared by the 64-bit names of their
-whole word sequence, so nothing depends on how well the rounds cut a text. Documents whose whole word sequence an earlier one has are
+shared passages, and the few that hold no determining span) are compared by 128-bit names of their
+whole word sequence, so nothing depends on how well the rounds cut a text, and of 10**12 windows two different ones have one name with a chance of 10**-14. Documents whose whole word sequence an earlier one has are
 the longest symbols of all: they are settled at the start and take no part in the rounds.
 
 Defined results: null or blank text has no word and nothing is removed. Texts of fewer than WINDOW words lose nothing. Repeated rows of one
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import U, Words, inverse, mix, pieces, powers, rolling
+from graphloom.llm.arrays import U, Words, give_back, inverse, mix, pieces, powers, rolling
 from graphloom.session import materialise, release
 
 WINDOW = 50
@@ -147,7 +147,7 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 w = Words(part.column(1))
-                names = rolling(w.name, WINDOW)
+                names, more = rolling(w.name, WINDOW), rolling(mix(w.name ^ _B), WINDOW, 0x8EBC6AF09C88C6E3)
                 sym, text, low, high = _parse(w)
                 bounds = np.searchsorted(text, np.arange(len(w.first)))
                 rows: list[tuple] = []
@@ -171,12 +171,15 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         t = np.flatnonzero(~_holds(lo[none_after], hi[none_after], b - a))
                     if len(q) or len(t):
                         text_k = part.column(1)[k].as_py() if len(q) else None
-                        rows.append((part.column(0)[k].as_py(), text_k, _signed(names[a + q]), q.astype(np.int32), _signed(names[a + np.setdiff1d(t, q, assume_unique=True)])))
+                        t = np.setdiff1d(t, q, assume_unique=True)
+                        rows.append((part.column(0)[k].as_py(), text_k, _signed(names[a + q]), _signed(more[a + q]), q.astype(np.int32), _signed(names[a + t]), _signed(more[a + t])))
                 if rows:
-                    ids, txt, qh, qp, th = zip(*rows, strict=True)
+                    ids, txt, qh, q2, qp, th, t2 = zip(*rows, strict=True)
+                    longs = lambda x: pa.array(x, pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array(txt, pa.string()), pa.array(qh, pa.list_(pa.int64())), pa.array(qp, pa.list_(pa.int32())), pa.array(th, pa.list_(pa.int64()))], names=["doc_id", "text", "q", "at", "t"]
+                        [pa.array(ids, pa.int64()), pa.array(txt, pa.string()), longs(qh), longs(q2), pa.array(qp, pa.list_(pa.int32())), longs(th), longs(t2)], names=["doc_id", "text", "q", "q2", "at", "t", "t2"]
                     )
+        give_back()
 
 
 def _removed(n: int, at: np.ndarray) -> np.ndarray:
@@ -226,12 +229,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     shared = materialise(held.groupBy("sym").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "shared")
     kinds = (F.when(F.col("first") < F.col("doc_id"), 1).otherwise(0) + F.when(F.col("last") > F.col("doc_id"), 2).otherwise(0)).cast("byte")
     mine = held.join(shared, "sym").groupBy("doc_id").agg(F.collect_set(F.struct("sym", kinds.alias("kind"))).alias("shared"))
-    suspects = materialise(own.join(mine, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_suspects, "doc_id long, text string, q array<long>, at array<int>, t array<long>"), "suspects")
+    suspects = materialise(own.join(mine, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_suspects, "doc_id long, text string, q array<long>, q2 array<long>, at array<int>, t array<long>, t2 array<long>"), "suspects")
     release(shared)
-    q = suspects.select("doc_id", F.explode(F.arrays_zip("q", "at")).alias("x")).select("doc_id", F.col("x.q").alias("w"), F.col("x.at").alias("at"))
-    t = suspects.select("doc_id", F.explode("t").alias("w"))
-    first = materialise(q.select("doc_id", "w").union(t).groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w", "first"), "first")
-    gone = q.join(first, "w").filter(F.col("first") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    q = suspects.select("doc_id", F.explode(F.arrays_zip("q", "q2", "at")).alias("x")).select("doc_id", F.col("x.q").alias("w"), F.col("x.q2").alias("w2"), F.col("x.at").alias("at"))
+    t = suspects.select("doc_id", F.explode(F.arrays_zip("t", "t2")).alias("x")).select("doc_id", F.col("x.t").alias("w"), F.col("x.t2").alias("w2"))
+    first = materialise(q.select("doc_id", "w", "w2").union(t).groupBy("w", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w", "w2", "first"), "first")
+    gone = q.join(first, ["w", "w2"]).filter(F.col("first") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
     changed = suspects.filter(F.col("text").isNotNull()).select("doc_id", "text").dropDuplicates(["doc_id"]).join(gone, "doc_id").select("doc_id", "text", "gone")
     cut = changed.mapInArrow(_finish, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
     empty = again.select("doc_id", F.lit(True).alias("copy"))
