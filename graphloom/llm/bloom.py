@@ -8,10 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A filter is held in the plan as one literal; no filter larger than this is made.
+#: A filter is held in the plan as one literal; no filter larger than this is made. Callers have another way for more keys.
 MAX_FILTER_BYTES = 8 << 20
 
 
+class TooLarge(ValueError):
+    """A filter would not fit the plan."""
+
+
 @dataclass(frozen=True)
 class Bloom:
     """``words`` are the bits, 64 to a word; ``seed`` tells filters over the same keys apart."""
@@ -43,12 +47,12 @@ def filter_bytes(n_keys: int, rate: float) -> int:
 def build(keys: DataFrame, column: str, n_keys: int, rate: float, seed: int = 0) -> Bloom:
     """The filter over a column of distinct keys.
 
-    The driver receives at most ``filter_bytes(n_keys, rate)`` bytes, which must not exceed MAX_FILTER_BYTES.
+    The driver receives at most ``filter_bytes(n_keys, rate)`` bytes; if these exceed MAX_FILTER_BYTES, TooLarge is raised before anything is read.
     An empty table gives a filter that holds nothing.
     """
     size = filter_bytes(n_keys, rate)
     if size > MAX_FILTER_BYTES:
-        raise ValueError(f"a filter over {n_keys} keys takes {size} bytes; at most {MAX_FILTER_BYTES} are held in a plan")
+        raise TooLarge(f"a filter over {n_keys} keys takes {size} bytes; at most {MAX_FILTER_BYTES} are held in a plan")
     n_hashes = max(1, round(-math.log2(rate)))
     bits = 8 * size
     at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(seed), F.lit(j)), F.lit(bits)) for j in range(n_hashes)]))

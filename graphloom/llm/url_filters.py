@@ -3,11 +3,12 @@
 Level 0 of the cascade encodes the listed keys. Level 1 encodes the keys of the corpus that level 0 lets through
 although they are not listed, level 2 the listed keys that level 1 wrongly holds, and so on until no key of the
 corpus is judged wrongly. As the levels are made over all keys that occur, every answer is exact, and judging a row
-needs no join: the levels are literals in the plan.
+needs no join: the levels are literals in the plan. The list may be a sequence, or a table of any size; if a level would not fit the plan
+(see bloom.MAX_FILTER_BYTES), hosts are looked up by a shuffle instead, with the same result.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed. Repeated
 rows are judged alike. Column names of the input other than the url do not matter. An empty list allows all; an empty
-table gives an empty result. Hosts of any length and number of labels are judged whole.
+table gives an empty result. Null and empty names on the list are passed over, and capitals do not matter there. Hosts of any length and number of labels are judged whole.
 """
 
 from __future__ import annotations
@@ -15,19 +16,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bloom
-from graphloom.session import materialise
+from graphloom.operators.spread import spread_join
+from graphloom.session import materialise, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of the registered query: longest fitting rule wins.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Listed domains of the registered query; a listed domain stands for its subdomains too.
 BLOCKED = ("adult-x.example.net", "cheap-pills.example.com", "spam-farm.example.org")
-#: Rate of false positives of each level.
-RATE = 0.25
+#: Rates of false positives: of each level over keys of the corpus and of those behind it, and of the first.
+RATE, FIRST_RATE = 0.25, 1e-3
 
 
 def parse(df: DataFrame, url: str = "url", host: str = "host", path: str = "path") -> DataFrame:
@@ -53,9 +55,16 @@ def longest_rule(rules: Sequence[tuple[str, str]], host: Column, path: Column) -
     return out
 
 
-def suffixes(host: Column, listed: Sequence[str]) -> Column:
+def listing(spark: SparkSession, listed: Sequence[str] | DataFrame) -> DataFrame:
+    """Distinct listed domains as a table (key), from a sequence or from the first column of a table."""
+    if not isinstance(listed, DataFrame):
+        listed = spark.createDataFrame([(x,) for x in sorted({x for x in listed if x})], "key string")
+    key = F.translate(F.col(f"`{listed.columns[0]}`").cast("string"), UPPER, LOWER)
+    return listed.select(key.alias("key")).filter(F.coalesce("key", F.lit("")) != "").distinct()
+
+
+def suffixes(host: Column, depths: Sequence[int]) -> Column:
     """The host's last k labels for each k that a listed domain has; no other suffix can be listed."""
-    depths = sorted({x.count(".") + 1 for x in listed})
     if not depths:
         return F.array().cast("array<string>")
     return F.filter(F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in depths])), lambda x: x != "")
@@ -75,44 +84,52 @@ class Cascade:
         return out
 
 
-def cascade(universe: DataFrame, listed: Sequence[str], rate: float = RATE) -> Cascade:
-    """The cascade for ``listed`` over a table of distinct keys (column ``key``).
+def cascade(universe: DataFrame, listed: DataFrame, rate: float = RATE, first_rate: float = FIRST_RATE) -> Cascade:
+    """The cascade for the distinct keys of ``listed`` over a table of distinct keys (both with a column ``key``).
 
-    Level 0 is bounded by the list. At the rate used each further level over list keys is a fraction of it; the
-    levels over corpus keys hold rate x universe keys at first, and the filter's size is checked before it is built.
+    Level 0 is bounded by the list, at a rate of its own, which keeps what passes it small even for a large universe. At the rate used each further level over list keys is a fraction of it; the
+    levels over corpus keys hold the share of the universe that the level before let through. Raises bloom.TooLarge if a level does not fit a plan.
     """
-    listed = sorted({x for x in listed if x})
-    if not listed:
+    n, levels = listed.count(), []
+    if not n:
         return Cascade(())
-    spark = universe.sparkSession
-    mine = spark.createDataFrame([(x,) for x in listed], "key string")
-    n, levels = len(listed), []
-    # A sharp first level keeps what passes it small even for a large universe.
-    first = bloom.build(mine, "key", n, min(rate, 1e-3), seed=0)
-    levels.append(first)
-    theirs = materialise(universe.filter(first.test(F.col("key"))).join(mine, "key", "left_anti"), "cascade")
-    turn = theirs  # what the next level encodes; afterwards the other side is filtered by it
-    other = mine
-    while (count := turn.count()) > 0:
-        level = bloom.build(turn, "key", count, rate, seed=len(levels))
-        levels.append(level)
-        turn, other = materialise(other.filter(level.test(F.col("key"))), "cascade"), turn
+    levels.append(bloom.build(listed, "key", n, first_rate, seed=0))
+    turn = materialise(universe.filter(levels[0].test(F.col("key"))).join(listed, "key", "left_anti"), "cascade")
+    other, made = listed, [turn]  # what the next level encodes; afterwards the other side is filtered by it
+    try:
+        while (count := turn.count()) > 0:
+            levels.append(bloom.build(turn, "key", count, rate, seed=len(levels)))
+            turn, other = materialise(other.filter(levels[-1].test(F.col("key"))), "cascade"), turn
+            made.append(turn)
+    finally:
+        for t in made:
+            release(t)
     return Cascade(tuple(levels))
 
 
-def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] = BLOCKED, url: str = "url") -> DataFrame:
+def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] | DataFrame = BLOCKED, url: str = "url", rate: float = RATE, first_rate: float = FIRST_RATE) -> DataFrame:
     """Adds host, path, rule and verdict to every row; columns of those names are replaced."""
-    parsed = parse(df, url)
-    keys = parsed.select(F.explode(suffixes(F.col("host"), listed)).alias("key")).distinct()
-    found = cascade(keys, listed)
-    blocked = F.exists(suffixes(F.col("host"), listed), found.member) if found.levels else F.lit(False)
-    best = longest_rule(rules, F.col("host"), F.col("path"))
-    return (
-        parsed.withColumn("_best", best)
-        .withColumn("rule", F.col("_best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))))
-        .drop("_best")
-    )
+    own = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    # The row is one column, so that no name of the input clashes with those made here.
+    whole = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("_"))
+    parsed = parse(df.select(whole.alias("_row"), F.col(f"`{url}`").cast("string").alias("_url")), "_url").select("_row", "host", "path")
+    mine = materialise(listing(df.sparkSession, listed), "listed")
+    depths = sorted(r[0] for r in mine.select(F.size(F.split("key", r"\.")).alias("d")).distinct().collect())
+    host = F.col("host")
+    try:
+        found = cascade(parsed.select(F.explode(suffixes(host, depths)).alias("key")).distinct(), mine, rate, first_rate)
+        blocked = F.exists(suffixes(host, depths), found.member) if found.levels else F.lit(False)
+    except bloom.TooLarge:
+        each = parsed.select("host").distinct().select("host", F.explode(suffixes(host, depths)).alias("key"))
+        hosts = materialise(each.join(mine, "key", "left_semi").select("host", F.lit(True).alias("_blocked")).distinct(), "hosts")
+        parsed = spread_join(parsed, hosts, ["host"], "left")
+        blocked = F.coalesce("_blocked", F.lit(False))
+    release(mine)
+    best = longest_rule(rules, host, F.col("path"))
+    return parsed.select(
+        *[F.col("_row")[c].alias(c) for c in own], "host", "path", best["rule"].alias("rule"),
+        F.coalesce(best["verdict"], F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+    )
 
 
 def _sql_rule(rule: str, verdict: str) -> str:
