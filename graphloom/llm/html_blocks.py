@@ -3,15 +3,24 @@
 The page is cut by one regular expression that cannot go back on itself, so time grows with the page. Elements that may be left open
 (p, li, cells and so on) end where a browser would end them; an end tag closes its element and what is open inside it, and is
 ignored where nothing of that name is open. Formatting elements (b, span, a and so on) make no block of their own, nor do formulas
-and objects, whose text stays. Drawings and media without an end tag end where a block element starts.
+and objects, whose text stays. Drawings and media without an end tag end where a block element starts, a template without one is passed over
+like an unknown tag; scripts, styles and other plain content without one reach to the end of the page, as in a browser.
+
+Open elements are linked nodes, each with what it adds to its parent's path, so nesting of any depth costs no more than the same tags side by side.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 from html import unescape
 
+import numpy as np
+
+#: Rows of the table of path vectors.
+PATHS = 4096
+
 #: Elements of the HTML standard by how they take part in blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -29,30 +38,51 @@ _TAG = re.compile(
     r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""", re.I)
+#: One attribute after the other, so that neither a longer name nor another value is taken for one of SHOWN.
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^\s>]++)))?+""")
+SHOWN = frozenset("class id role hidden aria-hidden style".split())
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements of UNSEEN that a page may leave open with text behind them.
 OPEN_ENDED = frozenset("svg canvas audio video annotation annotation-xml".split())
 _BLOCK_START = re.compile(rf"<(?:{'|'.join(sorted(ENDS_P | frozenset(ENDS_ITS_LIKE)))})(?=[\s/>])", re.I)
 _SVG_PARTS = re.compile(rf"<(?:(?P<end>/?)(?P<name>svg|foreignobject)(?=[\s/>])[^>]*+|(?P<block>{_BLOCK_START.pattern[1:]}))", re.I)
+_TEMPLATE = re.compile(r"<(?P<end>/?)template(?=[\s/>])[^>]*+>", re.I)
 _raw_ends: dict[str, re.Pattern] = {}
 
 
+class Node:
+    """An open element: ``rows`` are those of the path table that its parent's path lacks. ``vector`` is for whoever adds them up."""
+
+    __slots__ = ("parent", "tag", "rows", "vector")
+
+    def __init__(self, parent: Node | None, tag: str, rows: tuple[int, ...]):
+        self.parent, self.tag, self.rows = parent, tag, rows
+        self.vector: np.ndarray | None = None
+
+
 @dataclass
 class Block:
-    """``path`` has a tuple (tag, names in its attributes ...) for each open element; ``linked`` is the count of characters in links."""
+    """A text with the innermost element that it stands in; ``leaf`` is a further row of the path table for it (none: empty), ``linked`` counts characters in links."""
 
-    path: tuple[tuple[str, ...], ...]
+    node: Node | None
+    leaf: tuple[int, ...]
     text: str
     linked: int
 
 
-def _element(tag: str, attrs: str) -> tuple[str, ...]:
+def row_of(token: str) -> int:
+    return zlib.crc32(token.encode()) % PATHS
+
+
+def _words_of(tag: str, attrs: str) -> tuple[str, ...]:
     """The tag and the words of its class, id and role; ``hidden`` if it isn't shown."""
     out = [tag]
     if attrs:
         for m in _ATTRIBUTE.finditer(attrs):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            key = m[1].lower()
+            if key not in SHOWN:
+                continue
+            value = m[2] or m[3] or m[4] or ""
             if key in ("class", "id", "role"):
                 out += [x.lower() for x in _NAMES.findall(value)]
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -60,6 +90,35 @@ def _element(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+_rows: dict[tuple[str, str, str], tuple[int, ...]] = {}
+
+
+def _element_rows(parent: str, tag: str, attrs: str) -> tuple[int, ...]:
+    """Rows of the path table that an element says: its words, and its tag in that of its parent. A bounded number of answers is kept."""
+    key = (parent, tag, attrs)
+    found = _rows.get(key)
+    if found is None:
+        if len(_rows) >= 20_000:
+            _rows.clear()
+        tokens = {*_words_of(tag, attrs), f"{parent}>{tag}"} if parent else set(_words_of(tag, attrs))
+        found = tuple(sorted(set(map(row_of, tokens))))
+        if len(attrs) < 200:
+            _rows[key] = found
+    return found
+
+
+def _templates(html: str) -> dict[int, int]:
+    """For the start tags of templates that are closed: where the tag ends, and where its end tag does."""
+    found: dict[int, int] = {}
+    open_: list[int] = []
+    for m in _TEMPLATE.finditer(html):
+        if not m["end"]:
+            open_.append(m.end())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
 def _after(html: str, tag: str, at: int) -> int:
     """Where the content of an element that holds plain characters ends: behind its end tag, or at the end of the page."""
     if tag not in _raw_ends:
@@ -108,7 +167,9 @@ def blocks(html: str | None) -> list[Block]:
     found: list[Block] = []
     if not html:
         return found
-    stack: list[tuple[str, ...]] = []
+    stack: list[tuple[str, Node, tuple[int, ...]]] = []
+    held: dict[int, int] = {}  # how many open elements say a row
+    templates: dict[int, int] | None = None
     text: list[str] = []
     linked, in_link, at, n = 0, False, 0, len(html)
     plain: set[str] = set()
@@ -118,7 +179,8 @@ def blocks(html: str | None) -> list[Block]:
         if text:
             whole = " ".join(unescape("".join(text)).split())
             if whole:
-                found.append(Block(tuple(stack), whole, linked))
+                leaf = row_of(f"leaf:{stack[-1][0] if stack else ''}")
+                found.append(Block(stack[-1][1] if stack else None, () if held.get(leaf) else (leaf,), whole, linked))
             text.clear()
         linked = 0
 
@@ -126,6 +188,9 @@ def blocks(html: str | None) -> list[Block]:
         """Close the highest open element of these names, if no fence stands before it, with all in it."""
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
+                for _, _, rows in stack[i:]:
+                    for r in rows:
+                        held[r] -= 1
                 del stack[i:]
                 return
             if stack[i][0] in fences:
@@ -159,6 +224,9 @@ def blocks(html: str | None) -> list[Block]:
             at = _after(html, tag, at)
         elif tag == "head":
             continue
+        elif tag == "template":
+            templates = _templates(html) if templates is None else templates
+            at = templates.get(at, at)
         elif tag in UNSEEN:
             if not m["attrs"].rstrip().endswith("/"):
                 at = _after_open_ended(html, tag, at, plain) if tag in OPEN_ENDED else _after(html, tag, at)
@@ -177,6 +245,10 @@ def blocks(html: str | None) -> list[Block]:
                 if tag in ("tr", "tbody", "thead", "tfoot"):
                     pop(ENDS_ITS_LIKE[tag] - {"td", "th"}, FENCES - {"td", "th", "div"})
             if tag not in VOID:
-                stack.append(_element(tag, m["attrs"]))
+                rows = _element_rows(stack[-1][0] if stack else "", tag, m["attrs"])
+                node = Node(stack[-1][1] if stack else None, tag, tuple([r for r in rows if not held.get(r)]))
+                for r in rows:
+                    held[r] = held.get(r, 0) + 1
+                stack.append((tag, node, rows))
     close()
     return found

@@ -1,7 +1,7 @@
 """Main text of web pages: a bidirectional LSTM labels every leaf block of a page as article or furniture.
 
 A block's input is the sum of vectors of its tag path (each element's tag and the words of its class, id and role, and each pair of nested
-tags), the mean of hashed-word vectors of its whole text, and a few measures. The network reads the blocks of the
+tags; an element's sum is its parent's and what it adds), the mean of hashed-word vectors of its whole text, and a few measures. The network reads the blocks of the
 whole page in both directions, so each label rests on document-wide context. It is written in numpy and trained here by
 backpropagation through time on PAGES generated pages whose labels are known by construction; rows that training has not met are
 zero vectors, so unknown names and words say nothing. Training depends on nothing but the parameters, and takes place once in a driver.
@@ -13,7 +13,6 @@ results; null ids and urls pass through; empty tables give empty ones. Only page
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,25 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrays import U, Words, pieces
-from graphloom.llm.html_blocks import Block, blocks
+from graphloom.llm.html_blocks import PATHS, Block, blocks
 from graphloom.llm.page_templates import sample_page
 
 #: Generated pages for training, passes over them, and pages in a step.
 PAGES, EPOCHS, BATCH, STEP_SIZE = 960, 6, 48, 0.02
 #: A mean of word vectors counts so many words more than there are, all zero, so one word weighs little; in training it is left out for this share of blocks.
 DAMPED, LEFT_OUT = 3, 0.3
-PATHS, WORDS, SIZE, MEASURES, HIDDEN = 4096, 4096, 16, 7, 16
+WORDS, SIZE, MEASURES, HIDDEN = 4096, 16, 7, 16
 #: Blocks (padding included) that the network works on at a time; a page with more is worked on alone.
 CELLS = 1 << 16
 
 
-def path_rows(path: Sequence[tuple[str, ...]]) -> list[int]:
+def path_rows(block: Block) -> list[int]:
     """Rows of the path table: names by element, nested pairs of tags, and the tag of the block itself."""
-    tokens = {x for element in path for x in element}
-    tags = [element[0] for element in path]
-    tokens |= {f"{a}>{b}" for a, b in zip(tags, tags[1:])}
-    tokens.add(f"leaf:{tags[-1] if tags else ''}")
-    return sorted({zlib.crc32(t.encode()) % PATHS for t in tokens})
+    out, node = list(block.leaf), block.node
+    while node is not None:
+        out += node.rows
+        node = node.parent
+    return out
 
 
 def measures(block: Block) -> list[float]:
@@ -64,14 +63,24 @@ class Labeller:
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
         self._cache: dict[tuple, np.ndarray] = {}
 
-    def path_vector(self, path: tuple) -> np.ndarray:
-        found = self._cache.get(path)
+    def _sum(self, rows: tuple[int, ...]) -> np.ndarray:
+        found = self._cache.get(rows)
         if found is None:
-            if len(self._cache) > 100_000:
+            if len(self._cache) > 20_000:
                 self._cache.clear()
-            found = self._cache[path] = self.w["path"][path_rows(path)].sum(axis=0)
+            found = self._cache[rows] = self.w["path"][list(rows)].sum(axis=0)
         return found
 
+    def path_vector(self, block: Block) -> np.ndarray:
+        todo, node = [], block.node
+        while node is not None and node.vector is None:
+            todo.append(node)
+            node = node.parent
+        vector = node.vector if node is not None else self._sum(())
+        for x in reversed(todo):
+            vector = x.vector = vector + self._sum(x.rows) if x.rows else vector
+        return vector + self._sum(block.leaf) if block.leaf else vector
+
     def _direction(self, x: np.ndarray, mask: np.ndarray, k: str, keep: bool) -> tuple[np.ndarray, list]:
         """States (time x pages x HIDDEN); beyond a page's end the state stays at zero."""
         h, (steps, n, _) = HIDDEN, x.shape
@@ -142,7 +151,7 @@ def _inputs(net: Labeller, page_blocks: list[list[Block]]) -> np.ndarray:
     flat = [b for page in page_blocks for b in page]
     rows, first = _word_rows([b.text for b in flat])
     words = _sums(net.w["word"], rows, first) / (np.diff(first) + DAMPED)[:, None]
-    return np.concatenate([np.stack([net.path_vector(b.path) for b in flat]), words, np.array([measures(b) for b in flat], np.float32)], axis=1, dtype=np.float32)
+    return np.concatenate([np.stack([net.path_vector(b) for b in flat]), words, np.array([measures(b) for b in flat], np.float32)], axis=1, dtype=np.float32)
 
 
 def _padded(x: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +172,7 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 7) -> Labeller:
         html, labels = sample_page(rng)
         found = blocks(html)
         if len(found) == len(labels):
-            paths = [path_rows(b.path) for b in found]
+            paths = [path_rows(b) for b in found]
             path_first = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
             data.append((np.concatenate(paths), path_first, *_word_rows([b.text for b in found]), np.array([measures(b) for b in found], np.float32), np.array(labels, np.float32)))
     first = {k: np.zeros_like(v) for k, v in net.w.items()}
