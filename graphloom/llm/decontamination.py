@@ -159,8 +159,8 @@ def candidates(docs: DataFrame, chosen: DataFrame, windows_of=_windows_of) -> Da
     around = F.transform("_h", lambda h: F.slice("_w", first(h) + 1, h + WIDTH - first(h)))
     near = t.select("doc_id", F.explode(around).alias("_w"))
     found = windows_of(near, "doc_id").select("doc_id", "window")
-    chosen = chosen.select("window").distinct()
-    return found.join(F.broadcast(chosen) if count <= BROADCAST_WINDOWS else chosen, "window", "left_semi").select("doc_id").distinct()
+    held = materialise(chosen.select("window").distinct(), "chosen")
+    return found.join(F.broadcast(held) if held.count() <= BROADCAST_WINDOWS else held, "window", "left_semi").select("doc_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
