@@ -9,34 +9,43 @@ from pyspark.sql import functions as F
 
 from graphloom.session import materialise
 
-#: Rows of a key from which it counts as hot, and the parts that the rows of a hot key are dealt into.
-HOT_ROWS, PARTS = 100_000, 64
+#: Rows of a key from which it counts as hot; its rows are dealt into parts of about so many, MOST_PARTS at most.
+HOT_ROWS, MOST_PARTS = 100_000, 4096
 #: The most rows of a table that is sent to every executor on account of its count.
 FEW_ROWS = 100_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS, parts: int = PARTS) -> DataFrame:
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Kept table (on, _parts) of the keys with more than ``hot_rows`` rows, from a table of counts ``n``. There are few, as the count of all rows bounds them."""
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col(n) / hot_rows)).cast("int")
+    return materialise(counts.filter(F.col(n) > hot_rows).select(*on, parts.alias("_parts")), "hot")
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right`` on equal columns; ``how`` is inner or left. ``right`` should have few rows of a key.
 
-    Keys with more than ``hot_rows`` rows on the left are counted first; there are few, as the count of rows bounds them. Their rows are dealt into ``parts`` parts by a hash of
-    the row, and their rows on the right are repeated for each part. Rows with a null in the key are dealt out too: they match nothing.
+    The rows of a hot key (see ``hot_keys``; counted here where ``hot`` is not given) are dealt into parts by a hash of the row, and its rows on the right are repeated for
+    each part. Rows with a null in the key are dealt out too: they match nothing. No column may be named _part or _parts.
     """
     on = list(on)
     some_null = F.lit(False)
     for c in on:
         some_null = some_null | F.col(c).isNull()
-    counts = left.filter(~some_null).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot"))
-    hot = materialise(counts, "hot")
+    if hot is None:
+        hot = hot_keys(left.filter(~some_null).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, "_n", hot_rows)
     n_hot = hot.count()
     if n_hot > FEW_ROWS:  # over FEW_ROWS * hot_rows rows: then no key has a large share
         return left.join(right, on, how)
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(parts)).cast("int")
+    dealt = F.xxhash64(*[F.col(c) for c in left.columns])
+    lone = F.when(some_null, F.pmod(dealt, F.lit(64)).cast("int"))
     if not n_hot:
-        l, r = left.withColumn("_part", F.when(some_null, part).otherwise(0)), right.withColumn("_part", F.lit(0))
+        if how == "inner":
+            return left.join(right, on)
+        l, r = left.withColumn("_part", lone.otherwise(0)), right.withColumn("_part", F.lit(0))
     else:
-        l = left.join(F.broadcast(hot), on, "left").withColumn("_part", F.when(some_null | F.col("_hot"), part).otherwise(0)).drop("_hot")
-        every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-        r = right.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(every)).drop("_hot")
+        l = left.join(F.broadcast(hot), on, "left").withColumn("_part", lone.when(F.col("_parts").isNotNull(), F.pmod(dealt, F.col("_parts")).cast("int")).otherwise(0)).drop("_parts")
+        every = F.when(F.col("_parts").isNotNull(), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(F.lit(0)))
+        r = right.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(every)).drop("_parts")
     return l.join(r, [*on, "_part"], how).drop("_part")
 
 

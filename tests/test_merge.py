@@ -117,7 +117,7 @@ def test_joins_with_hot_keys(spark):
     for how in ("inner", "left"):
         key = lambda df: sorted((r.id, r.k or "", r.n, r.v or 0) for r in df.select("id", "k", "n", "v").collect())
         want = key(left.join(right, ["k"], how))
-        assert key(spread_join(left, right, ["k"], how, hot_rows=100, parts=7)) == want
+        assert key(spread_join(left, right, ["k"], how, hot_rows=100)) == want
         assert key(spread_join(left, right, ["k"], how)) == want
     assert spread_join(left.limit(0), right, ["k"]).count() == 0
 
