@@ -563,6 +563,20 @@ def test_masking_leaves_no_part_of_a_key(spark):
     assert got == ["k [REDACTED] end"] * len(texts) + kept[:3] + ["only [REDACTED] end"]
 
 
+def test_items_in_long_texts_and_ties(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    item = " ".join(word() for _ in range(30))
+    long = [word() for _ in range(60_000)]
+    texts = [(1, " ".join(long)), (2, " ".join([*long, item])), (3, " ".join([item] * 500)), (3, " ".join([item] * 500)), (4, item)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("window", "anchor", "_w", "item_id", "at")})
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (3, "")], "item_id long, text string").withColumn("window", F.lit("clash"))
+    rows = sorted((r.doc_id, r.item_id, r.n_item_windows, r.n_matched) for r in decontamination.contaminated(docs, bench).collect())
+    assert rows == [(d, i, 26, 26) for d in (2, 3, 4) for i in (1, 2)]
+    left = decontamination.decontaminate(docs, bench)
+    assert [r.doc_id for r in left.collect()] == [1] and left.columns == docs.columns
+
+
 def test_parts_and_changed_capitals_of_items_are_taken_out(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
