@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import labelled
 from graphloom.llm.statistics import FEATURES
+from graphloom.session import materialise, release
 
 DIMENSION, GAMMA, RIDGE, GRID = 160, 0.02, 1.0, 512
 FOLDS, HELD_OUT = 4, 2
 ACCEPT = 0.7
+#: Parts into which the partitions' sums are added before these are added.
+ADDED_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -107,14 +110,17 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
     """The model from all labelled rows outside the held-out fold; None without labels of both classes."""
     fold = labelled.bucket(F.col("doc_id"), FOLDS)
     rows = labelled.with_label(stats, labels).filter((fold != HELD_OUT) & (fold >= 0))
-    rows = rows.select("features", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
+    rows = materialise(rows.select("features", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")), "labelled")
     sums = [f(F.col("features")[i]) for i in range(len(FEATURES)) for f in (F.avg, F.stddev_pop)]
     got = rows.agg(F.count(F.lit(1)), F.coalesce(F.avg("label"), F.lit(0.0)), *sums).first()
     if not got[0] or not 0 < got[1] < 1:
         return None
     scale = np.array(got[3::2], dtype=float)
     projection = Projection(np.array(got[2::2], dtype=float), np.where(scale > 1e-9, scale, 1.0))
-    parts = rows.mapInArrow(_sums(projection), "half int, i int, values array<double>").groupBy("half", "i").applyInPandas(_add, "half int, i int, values array<double>")
+    # Added up in two steps, so that a task never gets a row from every partition.
+    schema = "half int, i int, values array<double>"
+    parts = rows.mapInArrow(_sums(projection), schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(ADDED_AT_ONCE)))
+    parts = parts.groupBy("half", "i", "part").applyInPandas(_add, schema).groupBy("half", "i").applyInPandas(_add, schema)
     n = DIMENSION + 1
     total = np.zeros((2, n, n + 1))
     for r in parts.collect():
@@ -123,6 +129,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
     weights = [solve(total[0]), solve(total[1])]
     low, high = -0.5, 1.5
     counts = rows.mapInArrow(_crossed(projection, weights, low, high), "step int, label double").groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")).orderBy("step").collect()
+    release(rows)
     weight, ones, step = (np.array([r[c] for r in counts], dtype=float) for c in ("n", "s", "step"))
     places = low + (step + 0.5) * (high - low) / GRID
     return Model(projection, solve(total[0] + total[1]), places, rising(ones / weight, weight))
