@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.arrays import U, Words, give_back, mix, pieces
 from graphloom.llm.graph import components
+from graphloom.operators.spread import hot_keys, spread_join
 from graphloom.session import materialise, release
 
 RING = 1 << 20
@@ -192,10 +193,12 @@ def _verify(percent: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) whose whole sets are similar enough. One document may be the first of very many pairs."""
+    pairs = materialise(pairs, "pairs")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), ["a"], "n")
     left = sets.select(F.col("doc_id").alias("a"), F.col("names").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("names").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    return spread_join(pairs, left, ["a"], hot=hot).join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
 def _fixed(column: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -272,7 +275,7 @@ def _remaining(buckets: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     top = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", F.negative("component"))).alias("largest"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outsiders"))
     # Counted by bucket first, so this has a row a bucket; most have one component and go.
     top = materialise(top.filter(F.col("outsiders") > 0), "mixed")
-    mixed = named.join(top, "bucket").join(sets.select(F.col("doc_id").alias("rep"), "marks", "places"), "rep")
+    mixed = spread_join(named, top, ["bucket"], hot=hot_keys(top, ["bucket"], "members")).join(sets.select(F.col("doc_id").alias("rep"), "marks", "places"), "rep")
     n_out, n_mem = F.ceil(F.col("outsiders") / OUTSIDERS).cast("int"), F.ceil(F.col("members") / MEMBERS).cast("int")
     outside = F.col("component") != F.col("largest")
     part = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
@@ -305,7 +308,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = materialise(sigs.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "bands"), "reps")
     members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
     leaders = materialise(members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "leaders")
-    buckets = materialise(members.join(leaders.select("bucket", "leader"), "bucket"), "buckets")
+    buckets = materialise(spread_join(members, leaders.select("bucket", "leader"), ["bucket"], hot=hot_keys(leaders, ["bucket"], "n")), "buckets")
     sets = materialise(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width, percent), "doc_id long, names binary, marks binary, places binary"), "sets")
     stars = buckets.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(_linked(stars, sets, percent), "links")
