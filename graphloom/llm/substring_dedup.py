@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrays import U, Words, give_back, inverse, mix, pieces, powers, rolling
+from graphloom.operators.spread import hot_keys, spread_join
 from graphloom.session import materialise, release
 
 WINDOW = 50
@@ -226,15 +227,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     known = docs.filter(F.col("doc_id").isNotNull())
     own = known.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "doc_id", "left_anti").select("doc_id", "text")
     held = own.mapInArrow(_symbols, "sym long, doc_id long")
-    shared = materialise(held.groupBy("sym").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "shared")
+    shared = materialise(held.groupBy("sym").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last"), "shared")
     kinds = (F.when(F.col("first") < F.col("doc_id"), 1).otherwise(0) + F.when(F.col("last") > F.col("doc_id"), 2).otherwise(0)).cast("byte")
-    mine = held.join(shared, "sym").groupBy("doc_id").agg(F.collect_set(F.struct("sym", kinds.alias("kind"))).alias("shared"))
+    hot = hot_keys(shared, ["sym"], "n")
+    mine = spread_join(held, shared.drop("n"), ["sym"], hot=hot).groupBy("doc_id").agg(F.collect_set(F.struct("sym", kinds.alias("kind"))).alias("shared"))
     suspects = materialise(own.join(mine, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_suspects, "doc_id long, text string, q array<long>, q2 array<long>, at array<int>, t array<long>, t2 array<long>"), "suspects")
     release(shared)
     q = suspects.select("doc_id", F.explode(F.arrays_zip("q", "q2", "at")).alias("x")).select("doc_id", F.col("x.q").alias("w"), F.col("x.q2").alias("w2"), F.col("x.at").alias("at"))
     t = suspects.select("doc_id", F.explode(F.arrays_zip("t", "t2")).alias("x")).select("doc_id", F.col("x.t").alias("w"), F.col("x.t2").alias("w2"))
-    first = materialise(q.select("doc_id", "w", "w2").union(t).groupBy("w", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w", "w2", "first"), "first")
-    gone = q.join(first, ["w", "w2"]).filter(F.col("first") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    first = materialise(q.select("doc_id", "w", "w2").union(t).groupBy("w", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").select("w", "w2", "first", "n"), "first")
+    gone = spread_join(q, first.drop("n"), ["w", "w2"], hot=hot_keys(first, ["w", "w2"], "n")).filter(F.col("first") < F.col("doc_id")).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
     changed = suspects.filter(F.col("text").isNotNull()).select("doc_id", "text").dropDuplicates(["doc_id"]).join(gone, "doc_id").select("doc_id", "text", "gone")
     cut = changed.mapInArrow(_finish, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
     empty = again.select("doc_id", F.lit(True).alias("copy"))
