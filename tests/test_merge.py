@@ -4,9 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators.merge import entity_blocks, merge_round, merge_with_existing, tree_merge
-from graphloom.operators.similarity import bands_for, cosine_pairs, likely_pairs
+from graphloom.operators.similarity import PARTS, ROWS, _dealt, _named, bands_for, cosine_pairs, likely_pairs, outermost_matches, pairs_within
 from graphloom.operators.spread import numbered, spread_join
 
 ENT = "graph long, block int, ord long, name string, label string, embedding array<double>, description string"
@@ -98,6 +99,48 @@ def test_cosine_pairs_in_small_parts(spark):
     assert cosine_pairs(df.limit(0), df, 0.5).count() == 0
 
 
+def test_pairs_within_a_table(spark):
+    rng = random.Random(4)
+    rows = [(i % 45, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(None, [1.0] * 4), (99, None), (100, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    want = sorted((a, b) for a, x in rows for b, y in rows if None not in (a, b) and a < b and x and y and cos(x, y) >= 0.5)
+    for size in (7, ROWS):
+        assert sorted((r.a, r.b) for r in pairs_within(df, 0.5, rows=size).collect()) == want
+    assert pairs_within(df.limit(0), 0.5).count() == 0
+
+
+def test_a_group_is_dealt_to_many_tasks_in_few_copies(spark):
+    """The blocks of one group stay apart behind a join by the group, and vectors are not sent to more and more parts, nor as doubles."""
+    rows = [(0, i, [float(i), 1.0]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g int, id long, embedding array<float>")
+    own = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert cosine_pairs(df, df, -1.0, ["g"], rows=250).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    named = _named(df, ["g"], "id", "embedding")
+    assert named.schema["_vector"].dataType.simpleString() == "array<float>"
+    assert _dealt(named, named, ["g"], 10).count() == 2 * PARTS * 1000
+
+
+@pytest.mark.parametrize("recall", [None, 0.9999])
+def test_matches_are_reduced_where_they_are_found(spark, recall):
+    rng = random.Random(5)
+    rows = [(i % 2, i, rng.choice([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [-1.0, 0.1]]), rng.randrange(1000), 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "s int, id long, embedding array<double>, first long, last long")
+    left, right = ([r for r in rows if r[0] == k] for k in (0, 1))
+    hits = [(a, b) for a in left for b in right if cos(a[2], b[2]) >= 0.9]
+    want = {(0, a[1], min(y[3] for x, y in hits if x is a), max(y[4] for x, y in hits if x is a), None) for a, _ in hits}
+    want |= {(1, b[1], None, *max((x[4], x[1]) for x, y in hits if y is b)) for _, b in hits}
+    assert len(hits) > 10 * len(rows)
+    for size in (20, ROWS):
+        found = outermost_matches(df.filter("s = 0"), df.filter("s = 1"), 0.9, rows=size, recall=recall).collect()
+        assert len(found) == len(want) and {(r.side, r.id, r.first, r.last, r.by) for r in found} == want
+
+
 def test_likely_pairs_are_exact_and_nearly_all(spark):
     rng = random.Random(6)
     base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
