@@ -359,3 +359,25 @@ def test_batches_and_stream(spark, tmp_path):
     before = ents.count()
     merge_batch(spark.createDataFrame(DOCS, "doc_id long, text string"), 1, folder, config)  # a batch that is done is not done again
     assert current(spark, folder)[0].count() == before
+
+
+def test_relations_are_parsed_once(spark, monkeypatch):
+    """Later steps read kept tables; none parses the replies again."""
+    from graphloom.plans import pipeline
+
+    parsed, plain = spark.sparkContext.accumulator(0), pipeline.parsed_relations
+
+    def counted(replied):
+        df = plain(replied)
+
+        def run(batches):
+            for b in batches:
+                parsed.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    monkeypatch.setattr(pipeline, "parsed_relations", counted)
+    docs = spark.createDataFrame([(1, "Alice met Robert in Paris, and they talked.")], "doc_id long, text string")
+    _, rels = pipeline.build_graph(docs)
+    assert parsed.value == 2 and rels.count() == 2
