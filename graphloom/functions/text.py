@@ -1,8 +1,12 @@
-"""Scalar text functions as column expressions; all stay inside the JVM."""
+"""Scalar text functions as column expressions; all stay inside the JVM but ``segmented``, ``classified`` and ``bold_names``."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
+from functools import lru_cache
+from itertools import groupby
+from string import ascii_uppercase
 
 import pandas as pd
 from pyspark.sql import Column
@@ -172,12 +176,77 @@ def escape_label(x: Column) -> Column:
     return F.replace(x, F.lit("`"), F.lit("``"))
 
 
+@lru_cache(maxsize=256)
+def _one_of(chars: frozenset[str]) -> re.Pattern[str]:
+    return re.compile("[" + "".join(re.escape(c) for c in sorted(chars)) + "]")
+
+
+def _bold_plain(text: str, names: list[str]) -> str:
+    """``bold_names`` for names without an asterisk, in the order of their replacing.
+
+    The text is read once. A place waits at the longest name that begins there, and goes on to the next shorter one only where that name cannot be set bold.
+    """
+    rank = {n: i for i, n in enumerate(names)}
+    head = min(3, len(names[-1]))
+    lengths: dict[str, list[int]] = {}  # by the first characters, longest first
+    for n in names:
+        found = lengths.setdefault(n[:head], [])
+        if not found or found[-1] != len(n):
+            found.append(len(n))
+    places: list[list[int]] = [[] for _ in names]
+
+    def wait(start: int, below: int) -> None:
+        for length in lengths.get(text[start : start + head], ()):
+            if length < below and (i := rank.get(text[start : start + length])) is not None:
+                return places[i].append(start)
+
+    first = {n[0] for n in names}
+    if not first.isdisjoint(ascii_uppercase):  # all capitals, so that most texts share a compiled pattern
+        first.update(ascii_uppercase)
+    for m in _one_of(frozenset(first)).finditer(text):
+        wait(m.start(), len(names[0]) + 1)
+    signs = bytearray(len(text) + 1)  # 1 where a sign was put in before this character
+    cuts: list[int] = []
+    for n, starts in zip(names, places):
+        taken: list[int] = []
+        last = 0
+        for start in sorted(starts):
+            end = start + len(n)
+            if start and text[start - 1] == "*" or signs[start]:
+                continue  # nothing that begins here can be set bold any more
+            if start < last or text.startswith("*", end) or signs.find(1, start + 1, end + 1) >= 0:
+                wait(start, len(n))
+                continue
+            last = end
+            taken += (start, end)
+        for at in taken:  # only now: copies that touch are all set bold
+            signs[at] = 1
+        cuts += taken
+    cuts.sort()
+    return "**".join(text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)]))
+
+
+def _bold(text: str | None, names: Iterable[str | None] | None) -> str | None:
+    if text is None or names is None:
+        return None
+    order = sorted({n for n in names if n}, key=lambda n: (-len(n), n))
+    for starred, group in groupby(order, key=lambda n: "*" in n):
+        if not starred:
+            text = _bold_plain(text, list(group))
+            continue
+        for n in group:  # may take in signs put in before, so it is looked for in the text as it is by then
+            text = re.sub(rf"(?<!\*){re.escape(n)}(?!\*)", lambda m: f"**{m[0]}**", text)
+    return text
+
+
 def bold_names(text: Column, names: Column) -> Column:
     """Each name in ``names`` set between ** where no asterisk touches it; longest first, equals by name."""
-    distinct = F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "")))
-    order = F.array_sort(distinct, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    literal = lambda n: F.regexp_replace(n, r"([\\^$.|?*+(){}\[\]])", r"\\$1")
-    return F.aggregate(order, text, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<!\*)("), literal(n), F.lit(r")(?!\*)")), F.lit("**$1**")))
+
+    @F.pandas_udf("string")
+    def bold(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([_bold(t, n) for t, n in zip(texts, names)], dtype=object)
+
+    return bold(text, names)
 
 
 def iso_stamp(ts: Column) -> Column:

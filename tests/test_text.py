@@ -1,6 +1,8 @@
 """Text functions and distilling on hand-made cases and against plain Python."""
 
 import re
+import time
+from itertools import product
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -66,6 +68,21 @@ def test_bold_names(spark):
     assert [r.b for r in df.collect()] == [None if t is None else python_bold(t, n) for t, n in cases]
 
 
+def test_bold_names_in_order_of_length(spark):
+    texts = ["TheThe", "TheThenThe ThenThe", "SheThe TheShe", "Then* The*n *Then Theme", "**Then** The", "TheThemeThenAndThe.", "aXaXa aa aaa", "é𝒳Then𝒳The", ""]
+    cases = [(t, names) for t in texts for names in (re.findall("[A-Z][a-z]{2,}", t), ["The", "Then", "Them", "hen", "e", "eThe", "aXa", "aa", "𝒳"], ["The", "*", "**Then", "n*", "e**"], [])] + [("Then", None)]
+    df = spark.createDataFrame(cases, "text string, names array<string>").select(T.bold_names(F.col("text"), F.col("names")).alias("b"))
+    assert [r.b for r in df.collect()] == [None if n is None else python_bold(t, n) for t, n in cases]
+
+
+def test_bold_names_reads_a_text_once(spark):
+    names = ["A" + "".join(x) for x in product("abcdefghij", repeat=4)]
+    df = spark.createDataFrame([(" ".join(names), names), (None, names)], "text string, names array<string>").select(T.bold_names(F.col("text"), F.col("names")).alias("b"))
+    began = time.time()
+    assert [r.b for r in df.collect()] == [" ".join(f"**{n}**" for n in names), None]
+    assert time.time() - began < 20
+
+
 def test_languages_and_tokens(spark):
     df = spark.createDataFrame([("中文" * 10 + "a" * 60,), ("中" * 10 + "a" * 50,), ("123",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(T.language_of_text(F.col("t"))).collect()] == ["zh", "en", None, None, None]
